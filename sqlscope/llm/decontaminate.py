@@ -42,6 +42,11 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
+def run_hashes(words: Column, k: int) -> Column:
+    """Hash of the ``k`` words from each position on."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda s: F.xxhash64(F.slice(words, s, k)))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
@@ -59,11 +64,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
     size, at, upto = F.lit(0), F.col("idx"), F.lit(1)
     for k in lengths:
         many = F.greatest(F.col("n_words") - k + 1, F.lit(0))
-        probes.append(
-            F.when(F.col("n_words") >= k, F.transform(F.sequence(F.lit(1), F.col("n_words") - k + 1), lambda s, k=k: F.xxhash64(F.slice("words", s, k)))).otherwise(
-                F.array().cast("array<bigint>")
-            )
-        )
+        probes.append(F.when(F.col("n_words") >= k, run_hashes(F.col("words"), k)).otherwise(F.array().cast("array<bigint>")))
         size = F.when(F.col("idx") >= upto, F.lit(k)).otherwise(size)
         at = F.when(F.col("idx") >= upto, F.col("idx") - upto + 1).otherwise(at)
         upto = upto + many
