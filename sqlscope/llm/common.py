@@ -63,7 +63,7 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
 _POWER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 #: Bytes hashed at once; texts are cut there between words only.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ _powers = {"n": 0, "up": None, "down": None}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, PIECE // 4)
+        size = max(n, 2 * PIECE)
         for name, base in (("up", int(_POWER)), ("down", pow(int(_POWER), -1, 1 << 64))):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
@@ -100,6 +100,13 @@ def word_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def slices(batches, rows: int = 1024):
+    """The same rows in batches of at most ``rows``, so that what is made of one stays small."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
+
+
 def text_pieces(column: pa.Array, limit: int = PIECE):
     """(first, last, bytes, offsets) of consecutive texts that hold ``limit`` bytes together, or one longer text.
 

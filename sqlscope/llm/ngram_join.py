@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import _N, hashed_words, materialize, mix, small
+from sqlscope.llm.common import _N, hashed_words, materialize, mix, slices, small
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -42,7 +42,8 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 #: Buckets of the frequency sketch, and of one of its chunks.
-SKETCH, CHUNK = 1 << 22, 1 << 16
+SKETCH, CHUNK = 1 << 24, 1 << 18
+_SHIFT = np.uint64(40)
 #: 64-bit words of a bitmap, fragments of the order, members of a bucket that one task walks.
 BITMAP, FRAGMENTS, BLOCK = 32, 4, 50_000
 
@@ -80,14 +81,15 @@ def _profile(size: int):
     """Rows (doc_id, n, cls, chunk, counts): a row per document, and the task's counts for the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(SKETCH, np.uint32), set()
-        for b in batches:
+        counts, seen = np.zeros(SKETCH, np.uint8), set()  # a task counts to 255
+        for b in slices(batches):
             n, cls = np.zeros(len(b), np.int64), np.zeros(len(b), np.uint64)
             for r, s in shingle_sets(b["text"], size):
                 n[r], cls[r] = len(s), digest(s)
                 if len(s) and cls[r] not in seen:  # copies count once in a task
                     seen.add(cls[r])
-                    np.add.at(counts, (s >> np.uint64(42)).astype(np.int64), 1)
+                    spots = (s >> _SHIFT).astype(np.int64)
+                    counts[spots] += counts[spots] < 255
                     if len(seen) > 1_000_000:
                         seen.clear()
             m = len(b)
@@ -106,7 +108,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, c in zip(b["chunk"].to_pylist(), b["counts"], strict=True):
-            part = np.frombuffer(pa.decompress(c.as_py(), CHUNK * 4, codec="zstd"), np.uint32)
+            part = np.frombuffer(pa.decompress(c.as_py(), CHUNK, codec="zstd"), np.uint8)
             sums[k] = sums.get(k, 0) + part.astype(np.uint64)
     for k, v in sums.items():
         level = np.minimum(np.log1p(v.astype(np.float64)) * 10, 255).astype(np.uint8)
@@ -115,13 +117,13 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set in the global order: by level, then by hash (in which it is sorted)."""
-    return s[np.argsort(levels[(s >> np.uint64(42)).astype(np.int64)], kind="stable")]
+    return s[np.argsort(levels[(s >> _SHIFT).astype(np.int64)], kind="stable")]
 
 
 def _prefixes(size: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(sketch.value, np.uint8), set()
-        for b in batches:
+        for b in slices(batches):
             grams, classes = [], []
             for _, s in shingle_sets(b["text"], size):
                 if not len(s) or (c := digest(s)) in seen:
@@ -150,7 +152,7 @@ def _members(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for b in batches:
+        for b in slices(batches, 256):
             cls, ns, maps, segs = [], [], [], [[] for _ in range(FRAGMENTS)]
             for _, s in shingle_sets(b["text"], size):
                 if not len(s) or (c := digest(s)) in seen:
@@ -201,8 +203,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(gram, cls)
 
 
-def _forest(percent: int, tries: int, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: np.ndarray, refused: set, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Walk the pairs of a bucket that may link, from component to component.
+def _forest(percent: int, tries: int, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: np.ndarray, refused: set, side: np.ndarray | None) -> Iterator[tuple[int, int, int, int]]:
+    """Walk the pairs (a, b and their set sizes) of a bucket that may link, from component to component.
 
     A component counts as reached after ``tries`` pairs with it were told, and is not compared with what was reached before.
     """
@@ -234,7 +236,7 @@ def _forest(percent: int, tries: int, cls: np.ndarray, n: np.ndarray, comp: np.n
                 pair = (int(min(cls[x], cls[y])), int(max(cls[x], cls[y])))
                 if pair in refused:
                     continue
-                yield pair
+                yield (*pair, int(n[x]), int(n[y])) if cls[x] == pair[0] else (*pair, int(n[y]), int(n[x]))
                 told[comp[y]] += 1
                 if told[comp[y]] >= tries:
                     more = np.flatnonzero(comp == comp[y])
@@ -243,9 +245,9 @@ def _forest(percent: int, tries: int, cls: np.ndarray, n: np.ndarray, comp: np.n
 
 
 def _walk(percent: int, tries: int):
-    """Pairs (a, b) to count, from rows sorted by bucket: (bucket, side, cls, n, comp, bitmap, refused)."""
+    """Pairs (a, b, na, nb) to count, from rows sorted by bucket: (bucket, side, cls, n, comp, bitmap, refused)."""
 
-    def bucket(t: pa.Table) -> Iterator[tuple[int, int]]:
+    def bucket(t: pa.Table) -> Iterator[tuple[int, int, int, int]]:
         cls, at = np.unique(t["cls"].to_numpy(), return_index=True)
         if len(cls) < 2:
             return
@@ -263,7 +265,7 @@ def _walk(percent: int, tries: int):
                 told.clear()
             told.update(new)
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b", "na", "nb"])
 
         held: pa.Table | None = None
         for b in batches:
@@ -304,13 +306,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, both): the overlap of each pair, summed over fragments that are counted one by one."""
-    left = segments.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = segments.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("part_a", "part_b")).alias("n"))
+    """(a, b, na, nb, both): the overlap of each pair, summed over fragments that are counted one by one."""
+    few = small(pairs)
+    wanted = small(materialize(pairs.select(F.col("a").alias("w")).unionAll(pairs.select(F.col("b").alias("w"))).distinct(), "wanted"))
+    own = segments.join(wanted, F.col("cls") == F.col("w"), "left_semi")
+    left = own.join(few, F.col("cls") == F.col("a")).select("a", "b", "na", "nb", "fragment", F.col("part").alias("part_a"))
+    right = own.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b"))
+    partial = left.join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("part_a", "part_b")).alias("n"))
     # a class may be there twice if its document id is: the fragment counts once
-    once = partial.repartition("a", "b").groupBy("a", "b", "fragment").agg(F.max("n").alias("n"))
-    return once.groupBy("a", "b").agg(F.sum("n").alias("both"))
+    once = partial.repartition("a", "b").groupBy("a", "b", "na", "nb", "fragment").agg(F.max("n").alias("n"))
+    return once.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("both"))
 
 
 def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -366,12 +371,10 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
             sides = refused.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionAll(refused.select(F.col("b").alias("cls"), F.col("a").alias("o")))
             now = now.join(sides.groupBy("cls").agg(F.collect_list("o").alias("refused")), "cls", "left_outer")
         now = now.select("bucket", "side", "cls", "n", "comp", "bitmap", "refused").repartition("bucket").sortWithinPartitions("bucket")
-        pairs = materialize(now.mapInArrow(_walk(percent, tries), "a long, b long").distinct(), "pairs")
+        pairs = materialize(now.mapInArrow(_walk(percent, tries), "a long, b long, na long, nb long").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        sizes = sets.select("cls", "n").distinct()
         counted = count_overlaps(pairs, segments)
-        counted = counted.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
         linked = F.col("both") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))
         counted = materialize(counted.select("a", "b", linked.alias("linked")), "counted")
         no = counted.filter("not linked").select("a", "b")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlscope.llm import chat, decontaminate, mixing, ngram_join, sharding
+from sqlscope.llm import ann, chat, decontaminate, langid, mixing, ngram_join, sharding, tokens, toxicity, warc
 from sqlscope.llm.common import materialize
 
 
@@ -19,6 +19,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.tokenized(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3, folds=4, held=2)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=24).drop("text_hash")
 
@@ -27,6 +42,10 @@ def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(chat.paired(_table(spark, sf_dir, "conversations")))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(mixing.sized(_table(spark, sf_dir, "documents")), "mix-sizes")
     return mixing.mix(rows, weights=(1, 2, 3), max_repeat=3).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,8 +55,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_sharding, op6_preferences, op8_mixing, op9_ngram_join)}
+    every = (op1_decontaminate, op2_warc, op3_tokens, op4_toxicity, op5_sharding, op6_preferences, op7_language, op8_mixing, op9_ngram_join, op10_ann)
+    return {f.__name__: f for f in every}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +81,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN listed ON listed.doc_id = d.doc_id
 """
 
+# base32 of a SHA-1: 32 groups of 5 bits, from the 40 hex digits taken 5 at a time (20 bits, 4 groups)
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+m AS (SELECT x, max(page_id) AS last FROM h GROUP BY x),
+d AS (SELECT DISTINCT x, array_to_string(list_transform(range(0, 32), lambda g:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(g // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - g % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS digest FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM h JOIN m USING (x) JOIN d USING (x)
+"""
+
 OP6 = """
 WITH t AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'r' ELSE 'c' END AS side,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
@@ -112,4 +148,4 @@ FROM d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op6_preferences": OP6, "op8_mixing": OP8, "op9_ngram_join": OP9}
+    return {"op1_decontaminate": OP1, "op2_warc": OP2, "op6_preferences": OP6, "op8_mixing": OP8, "op9_ngram_join": OP9}
