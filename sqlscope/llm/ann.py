@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from sqlscope.llm.common import materialize
 
-BOOKS, WORDS, BEAM = 8, 64, 4
+BOOKS, WORDS, BEAM = 8, 128, 4
 #: Vectors that codebooks are trained on at most; vectors of one block; queries of one broadcast.
 SAMPLE, VECTOR_BLOCK, QUERY_BLOCK = 4_096, 8_192, 4_096
 #: Of each block, codes that are reranked exactly for a query.
-RERANK = 100
+RERANK = 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:

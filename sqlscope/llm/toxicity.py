@@ -27,8 +27,8 @@ from sqlscope.llm.common import _N, bucket_of, hashed_words, mix
 
 BITS = 20
 #: Labelled documents that are learned from at most, and passes over them.
-MAX_ROWS, EPOCHS = 16_000, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 0.5
+MAX_ROWS, EPOCHS = 16_000, 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
