@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sqlscope.llm import decontaminate, langid, mixing, ngram_join, sharding
-from sqlscope.llm.common import materialize
+from sqlscope.llm.common import materialize, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or no letter) go."""
+    ship(spark)
     return langid.keep_identified(docs)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sqlscope.llm.common import materialize
 
-BOOKS, WORDS, BEAM = 8, 128, 4
+BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that codebooks are trained on at most; vectors of one block; queries of one broadcast.
 SAMPLE, VECTOR_BLOCK, QUERY_BLOCK = 4_096, 8_192, 4_096
 #: Of each block, codes that are reranked exactly for a query.

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if any(x.startswith("sqlscope-") for x in sc._python_includes):
+        return
+    root = Path(__file__).resolve().parent.parent
+    name = Path(tempfile.mkdtemp()) / f"sqlscope-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

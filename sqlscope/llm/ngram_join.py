@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscope.llm.common import _N, hashed_words, materialize, mix, slices, small
@@ -147,29 +147,38 @@ def _signature(shared: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _members(size: int):
-    """Rows (cls, n, bitmap, fragment 0.. as arrays) of the wanted classes' texts, each once per task."""
+def _once(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[np.uint64, np.ndarray]]]:
+    """(digest, set) of the texts of small batches, each class once in a task."""
+    seen: set = set()
+    for b in slices(batches, 256):
+        found = []
+        for _, s in shingle_sets(b["text"], size):
+            if len(s) and (c := digest(s)) not in seen:
+                seen.add(c)
+                found.append((c, s))
+        if found:
+            yield found
+
 
+def _bitmaps(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for b in slices(batches, 256):
-            cls, ns, maps, segs = [], [], [], [[] for _ in range(FRAGMENTS)]
-            for _, s in shingle_sets(b["text"], size):
-                if not len(s) or (c := digest(s)) in seen:
-                    continue
-                seen.add(c)
-                cls.append(c)
-                ns.append(len(s))
-                maps.append(_signature(s))
-                # fragments by hash: the order inside a level is by hash, so a range of hashes is a range of every level
-                cut = np.searchsorted(s, (np.arange(1, FRAGMENTS, dtype=np.uint64)) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
-                for k, part in enumerate(np.split(s.view(np.int64), cut)):
-                    segs[k].append(part)
-            if cls:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(maps, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in segs]],
-                    names=["cls", "n", "bitmap", *[f"f{k}" for k in range(FRAGMENTS)]],
-                )
+        for found in _once(batches, size):
+            cls = np.array([c for c, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([_signature(s) for _, s in found], pa.binary())], names=["cls", "bitmap"])
+
+    return run
+
+
+def _segments(size: int):
+    """Rows (cls, fragment, part): the sets cut by ranges of hashes, which are ranges of every level of the order."""
+    borders = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _once(batches, size):
+            cls = np.repeat(np.array([c for c, _ in found], np.uint64).view(np.int64), FRAGMENTS)
+            cuts = [p for _, s in found for p in np.split(s.view(np.int64), np.searchsorted(s, borders))]
+            fragment = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fragment), pa.array(cuts, pa.list_(pa.int64()))], names=["cls", "fragment", "part"])
 
     return run
 
@@ -307,11 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b, na, nb, both): the overlap of each pair, summed over fragments that are counted one by one."""
-    few = small(pairs)
-    wanted = small(materialize(pairs.select(F.col("a").alias("w")).unionAll(pairs.select(F.col("b").alias("w"))).distinct(), "wanted"))
-    own = segments.join(wanted, F.col("cls") == F.col("w"), "left_semi")
-    left = own.join(few, F.col("cls") == F.col("a")).select("a", "b", "na", "nb", "fragment", F.col("part").alias("part_a"))
-    right = own.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b"))
+    left = segments.join(small(pairs), F.col("cls") == F.col("a")).select("a", "b", "na", "nb", "fragment", F.col("part").alias("part_a"))
+    right = segments.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = left.join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("part_a", "part_b")).alias("n"))
     # a class may be there twice if its document id is: the fragment counts once
     once = partial.repartition("a", "b").groupBy("a", "b", "na", "nb", "fragment").agg(F.max("n").alias("n"))
@@ -336,14 +342,20 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
     if buckets.isEmpty():
         return profile, spark.createDataFrame([], "cls long, comp long")
 
-    # the sets of the classes that share a bucket, from one document each
-    wanted = buckets.select("cls").distinct()
-    reps = materialize(profile.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
-    ids = small(reps.select("rep").distinct())
-    picked = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    parts = ", ".join(f"f{k} array<long>" for k in range(FRAGMENTS))
-    sets = materialize(picked.mapInArrow(_members(size), f"cls long, n long, bitmap binary, {parts}"), "sets")
-    segments = sets.select("cls", F.posexplode(F.array(*[f"f{k}" for k in range(FRAGMENTS)])).alias("fragment", "part"))
+    # one document for each class of a bucket; classes without a neighbour of like size in theirs can't link there
+    classes = profile.join(buckets.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = materialize(classes, "classes")
+    by_size = Window.partitionBy("bucket").orderBy("n", "cls")
+    near = buckets.join(classes.select("cls", "n"), "cls").withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    fits = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    buckets = materialize(near.filter(F.coalesce(fits, F.lit(False))).select("bucket", "cls", "n"), "near")
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """Texts of a document of each chosen class (and of others that share its id)."""
+        ids = small(materialize(classes.join(chosen, "cls").select("rep").distinct(), "ids"))
+        return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+
+    facts = materialize(texts_of(buckets.select("cls").distinct()).mapInArrow(_bitmaps(size), "cls long, bitmap binary"), "bitmaps")
 
     # buckets of more than ``block`` classes are walked by pairs of blocks
     big = buckets.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -351,9 +363,9 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     cell = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
-    walked = cut.select(cell.alias("bucket"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("int").alias("side"), "cls")
+    walked = cut.select(cell.alias("bucket"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("int").alias("side"), "cls", "n")
 
-    facts = sets.select("cls", "n", "bitmap")
+    segments: DataFrame | None = None
     comp: DataFrame | None = None
     refused: DataFrame | None = None
     tries = 1
@@ -374,7 +386,12 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
         pairs = materialize(now.mapInArrow(_walk(percent, tries), "a long, b long, na long, nb long").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        counted = count_overlaps(pairs, segments)
+        wanted = materialize(pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct(), "wanted")
+        new = wanted if segments is None else materialize(wanted.join(segments.select("cls").distinct(), "cls", "left_anti"), "new")
+        if segments is None or not new.isEmpty():
+            more = materialize(texts_of(new).mapInArrow(_segments(size), "cls long, fragment int, part array<long>"), "segments")
+            segments = more if segments is None else segments.unionAll(more)
+        counted = count_overlaps(pairs, segments.join(small(wanted), "cls", "left_semi"))
         linked = F.col("both") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))
         counted = materialize(counted.select("a", "b", linked.alias("linked")), "counted")
         no = counted.filter("not linked").select("a", "b")

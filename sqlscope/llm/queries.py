@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sqlscope.llm import ann, chat, decontaminate, langid, mixing, ngram_join, sharding, tokens, toxicity, warc
-from sqlscope.llm.common import materialize
+from sqlscope.llm.common import materialize, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
