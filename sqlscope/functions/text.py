@@ -92,9 +92,15 @@ def strip_cte(q: Column) -> Column:
     return F.when(has(q, r"^\s*WITH\b"), F.regexp_replace(q, rx(head), "")).otherwise(q)
 
 
+#: Longer statements lose their literals before their subqueries are removed.
+LONG = 10_000
+
+
 def remove_subqueries(q: Column) -> Column:
     """Each (SELECT ...) as (?)."""
-    return F.when(has(q, r"\(\s*SELECT\b"), F.regexp_replace(q, rx(rf"\(\s*SELECT\b{balanced()}\)"), "(?)")).otherwise(q)
+    before = rf"\G((?:[^'(]++|{LITERAL}|\((?!\s*SELECT\b))*+)"
+    q = F.when(F.length(q) > LONG, mask(q)).otherwise(q)
+    return F.when(has(q, r"\(\s*SELECT\b"), F.regexp_replace(q, rx(rf"{before}\(\s*SELECT\b{balanced()}\)"), "$1(?)")).otherwise(q)
 
 
 def op(q: Column) -> Column:
@@ -129,7 +135,8 @@ def group_body(q: Column) -> Column:
 
 def select_list(q: Column) -> Column:
     """Text between SELECT and its FROM, subqueries included."""
-    return first(q, rf"^\s*SELECT\s+((?:[^()']++|{LITERAL}|\({balanced()}\))*?)\bFROM\b".replace("[^()']++|", "[^()'Ff]++|[Ff](?!ROM\\b)|(?<=\\w)[Ff]|"))
+    plain_run = r"[^()'Ff]++|[Ff](?!ROM\b)|(?<=\w)[Ff]"
+    return first(q, rf"^\s*SELECT\s+((?:{plain_run}|{LITERAL}|\({balanced()}\))*?)\bFROM\b")
 
 
 def on_bodies(q: Column) -> Column:
@@ -139,7 +146,7 @@ def on_bodies(q: Column) -> Column:
 def _refs(qualifiers: Column, columns: Column, ops: Column | None = None) -> Column:
     zipped = F.arrays_zip(qualifiers.alias("a"), columns.alias("b"), (ops if ops is not None else columns).alias("c"))
     named = F.transform(
-        zipped, lambda z: F.struct(F.nullif(plain(z["0"]), F.lit("")).alias("qualifier"), plain(z["1"]).alias("column"), F.upper(F.regexp_replace(z["2"], r"\s+", " ")).alias("op"))
+        zipped, lambda z: F.struct(F.nullif(plain(z["a"]), F.lit("")).alias("qualifier"), plain(z["b"]).alias("column"), F.upper(F.regexp_replace(z["c"], r"\s+", " ")).alias("op"))
     )
     return F.filter(named, lambda r: ~r["column"].isin(*KEYWORDS, *MORE_KEYWORDS))
 
@@ -147,7 +154,7 @@ def _refs(qualifiers: Column, columns: Column, ops: Column | None = None) -> Col
 def where_refs(w: Column) -> Column:
     """Array of (qualifier, column, op): columns left of a comparison, and qualified ones right of it."""
     left = rf"(?:({IDENT})\.)?({IDENT})\s*({COMPARE})"
-    right = rf"(=|!=|<>|<=|>=|<|>)\s*({IDENT})\.({IDENT})(?!\s*[\w(.])"
+    right = rf"(=|!=|<>|<=|>=|<|>)\s*({IDENT})\.({IDENT})(?![\w.]|\s*\()"
     w = F.coalesce(w, F.lit(""))
     return F.concat(_refs(every(w, left, 1), every(w, left, 2), every(w, left, 3)), _refs(every(w, right, 2), every(w, right, 3), every(w, right, 1)))
 
@@ -183,10 +190,15 @@ def tables(q: Column) -> Column:
 
 
 def aliases(q: Column) -> Column:
-    """Array of (alias, table): each FROM, JOIN and UPDATE table under its alias and its own name."""
-    p = rf"(?:\b(?:FROM|JOIN|UPDATE)|(?<=\w),)\s+({NAME})(?:\s+(?:AS\s+)?({_NOT_ALIAS}{IDENT}))?"
-    zipped = F.arrays_zip(every(q, p, 1), every(q, p, 2))
-    kept = F.filter(zipped, lambda z: ~plain(z["0"]).isin(*KEYWORDS, *MORE_KEYWORDS))
+    """Array of (alias, table): each FROM, JOIN and UPDATE table, commas included, under its alias and its own name."""
+    named = rf"({NAME})(?:\s+(?:AS\s+)?({_NOT_ALIAS}{IDENT}))?"
+    p = rf"\b(?:FROM|JOIN|UPDATE)\s+{named}"
+    source = first(q, r"\bFROM\b(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\bUNION\b|\bJOIN\b|\bFOR\b|$)")
+    listed = F.slice(F.split(F.coalesce(source, F.lit("")), ","), 2, 1000)
+    item = rf"^\s*{named}"
+    more = F.transform(listed, lambda x: F.struct(F.regexp_extract(x, rx(item), 1).alias("0"), F.regexp_extract(x, rx(item), 2).alias("1")))
+    zipped = F.concat(F.arrays_zip(every(q, p, 1), every(q, p, 2)), more)
+    kept = F.filter(zipped, lambda z: ~plain(z["0"]).isin("", *KEYWORDS, *MORE_KEYWORDS))
     both = F.transform(kept, lambda z: F.array(F.struct(plain(z["0"]).alias("alias"), plain(z["0"]).alias("table")), F.struct(F.coalesce(F.nullif(plain(z["1"]), F.lit("")), plain(z["0"])).alias("alias"), plain(z["0"]).alias("table"))))
     return F.array_distinct(F.flatten(both))
 

@@ -72,7 +72,7 @@ def missing_where(w: DataFrame) -> DataFrame:
 
 def missing_join(f: DataFrame, catalog: DataFrame) -> DataFrame:
     p = f.filter(F.size("pairs") > 0).select(*KEY, "aliases", F.explode("pairs").alias("p"))
-    sides = p.select(*KEY, "aliases", F.explode(F.array(F.struct(F.col("p.lq").alias("qualifier"), F.col("p.lc").alias("column_name")), F.struct(F.col("p.rq"), F.col("p.rc")))).alias("x"))
+    sides = p.select(*KEY, "aliases", F.explode(F.array(F.struct(F.col("p.lq").alias("qualifier"), F.col("p.lc").alias("column_name")), F.struct(F.col("p.rq").alias("qualifier"), F.col("p.rc").alias("column_name")))).alias("x"))
     sides = C.resolve_column(sides.select(*KEY, "aliases", "x.qualifier", "x.column_name")).drop("aliases", "qualifier").filter("table_name is not null").distinct()
     got = C.lookup(C.has_table(sides, catalog), catalog).filter("leading is null")
     return issue(got, "missing-join-index", "ERROR")

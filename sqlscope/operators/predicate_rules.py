@@ -37,8 +37,8 @@ def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def single_rules(config: AuditConfig) -> list[Column]:
-    """One finding or null each."""
+def single_rules(config: AuditConfig, only: frozenset[str] | None = None) -> list[Column]:
+    """One finding or null each; of the codes in ``only``, if given."""
     q, s, m, o, om, w, wm, wl, op, t, dml = (F.col(c) for c in ("sql", "s", "m", "o", "om", "w", "wm", "wl", "op", "t", "dml"))
     select, ons = op == "SELECT", F.array_join("ons", " ")
     lock = has(m, r"\bFOR\s+(?:UPDATE|SHARE)\b")
@@ -48,7 +48,8 @@ def single_rules(config: AuditConfig) -> list[Column]:
     rules: list[Column] = []
 
     def rule(code: str, severity: str | Column, when: Column, table: Column | None = t, column: Column | None = None, detail: Column | None = None) -> None:
-        rules.append(F.when(_false(when), found(code, severity, table, column, detail)))
+        if only is None or code in only:
+            rules.append(F.when(_false(when), found(code, severity, table, column, detail)))
 
     rule("select-all", "INFO", T.has_select_all(m))
     or_cols = T.or_columns(w)
@@ -129,28 +130,28 @@ def single_rules(config: AuditConfig) -> list[Column]:
     return rules
 
 
-def many_rules(config: AuditConfig) -> list[Column]:
-    """An array of findings each."""
+def many_rules(config: AuditConfig, only: frozenset[str] | None = None) -> list[Column]:
+    """An array of findings each; of the codes in ``only``, if given."""
     om, w, wl, t, op = (F.col(c) for c in ("om", "w", "wl", "t", "op"))
-    out: list[Column] = []
+    rules: list[tuple[str, Column]] = []
 
     def usage(severity: str):
         return lambda f: found("where-function", severity, t, f["column"], f["function"])
 
     for severity, calls in (("ERROR", T.where_functions(w)), ("WARNING", T.join_functions(om))):
         kept = F.filter(calls, lambda f: ~f["function"].isin(*FUNCTION_EXEMPT))
-        out.append(F.transform(kept, usage(severity)))
+        rules.append(("where-function", F.transform(kept, usage(severity))))
     number = r"(?:\d+(?:\.\d+)?|\?)"
     left = T.every(w, rf"\b(?:{IDENT}\.)?({IDENT})\s*[-+*/]\s*{number}\s*(?:=|!=|<>|<=|>=|<|>)")
     right = T.every(w, rf"(?:=|!=|<>|<=|>=|<|>)\s*{number}\s*[-+*/]\s*(?:{IDENT}\.)?({IDENT})\b")
     names = F.array_distinct(F.filter(F.transform(F.concat(left, right), T.plain), lambda c: ~c.isin(*T.KEYWORDS, *T.MORE_KEYWORDS)))
-    out.append(F.transform(names, lambda c: found("non-sargable", "ERROR", t, c)))
+    rules.append(("non-sargable", F.transform(names, lambda c: found("non-sargable", "ERROR", t, c))))
     # HAVING conditions without an aggregate or the alias of one
     conditions = F.split(F.coalesce(T.having_body(om), F.lit("")), T.rx(r"\s+(?:AND|OR)\s+"))
     called = F.transform(T.every(T.select_list(om), r"\b(?:COUNT|SUM|AVG|MAX|MIN)\s*\([^)]*\)\s+(?:AS\s+)?(\w+)"), F.lower)
     column = lambda c: T.plain(F.regexp_extract(c, T.rx(rf"^\s*(?:{IDENT}\.)?({IDENT})\s*(?:[=<>!]|LIKE\b|IN\b|IS\b|BETWEEN\b|NOT\b)"), 1))
     wrong = F.filter(conditions, lambda c: (F.trim(c) != "") & ~has(c, r"\b(?:COUNT|SUM|AVG|MAX|MIN)\s*\(") & ~_false(F.array_contains(F.coalesce(called, F.array().cast("array<string>")), column(c))))
-    out.append(F.when(op == "SELECT", F.transform(wrong, lambda c: found("having-misuse", "WARNING", t, F.nullif(column(c), F.lit(""))))))
+    rules.append(("having-misuse", F.when(op == "SELECT", F.transform(wrong, lambda c: found("having-misuse", "WARNING", t, F.nullif(column(c), F.lit("")))))))
     # columns compared more than once: in one OR branch, or in several with the same literal
     branches = F.split(wl, T.rx(r"\bOR\b"))
     compared = rf"((?:{IDENT}\.)?{IDENT})\s*({T.COMPARE})\s*('[^']*'|[^\s()]+)?"
@@ -168,13 +169,13 @@ def many_rules(config: AuditConfig) -> list[Column]:
         refs,
         lambda r, i: F.exists(F.slice(refs, 1, i), lambda p: (p["c"] == r["c"]) & (p["o"] == r["o"]) & ((p["b"] == r["b"]) | ((p["v"] == r["v"]) & (r["v"] != "?")))),
     )
-    out.append(F.transform(F.array_distinct(F.transform(twice, lambda r: T.plain(r["c"]))), lambda c: found("redundant-filter", "INFO", t, c)))
+    rules.append(("redundant-filter", F.transform(F.array_distinct(F.transform(twice, lambda r: T.plain(r["c"]))), lambda c: found("redundant-filter", "INFO", t, c))))
     # LEFT JOINs whose alias appears nowhere outside joins
     rest = F.regexp_replace(om, T.rx(r"\bJOIN\b.*?(?=\b(?:LEFT|RIGHT|INNER|CROSS|FULL|NATURAL)\b|\bJOIN\b|\bWHERE\b|\bGROUP\s+BY\b|\bORDER\s+BY\b|\bLIMIT\b|\bHAVING\b|$)"), " ")
     used = F.transform(T.every(rest, r"\b(\w+)`?\s*\."), F.lower)
     idle = F.filter(T.joins(om), lambda j: (j["kind"] == "LEFT") & ~F.array_contains(used, j["alias"]) & ~F.array_contains(used, j["table"]))
-    out.append(F.when((op == "SELECT") & ~has(om, r"\bSELECT\s+\*\s+FROM\b"), F.transform(idle, lambda j: found("unused-join", "WARNING", t, None, j["alias"]))))
-    return out
+    rules.append(("unused-join", F.when((op == "SELECT") & ~has(om, r"\bSELECT\s+\*\s+FROM\b"), F.transform(idle, lambda j: found("unused-join", "WARNING", t, None, j["alias"])))))
+    return [rule for code, rule in rules if only is None or code in only]
 
 
 def conversions(f: DataFrame) -> DataFrame:
@@ -187,11 +188,11 @@ def conversions(f: DataFrame) -> DataFrame:
     return firsts.select(*TEST, F.lit("implicit-type-conversion").alias("code"), F.lit("WARNING").alias("severity"), F.col("x.nsql").alias("query"), F.lit(None).cast("string").alias("table_name"), "column_name", F.concat_ws("=", "column_name", "value").alias("detail"), F.col("x.stack_trace").alias("source_location"))
 
 
-def evaluate(f: DataFrame, config: AuditConfig) -> DataFrame:
-    """All declared rules in one pass: the features are read once, whatever the number of rules."""
+def evaluate(f: DataFrame, config: AuditConfig, only: frozenset[str] | None = None) -> DataFrame:
+    """All declared rules (or those of ``only``) in one pass: the features are read once, whatever the number of rules."""
     none = F.array().cast(f"array<{FOUND}>")
-    single = F.array_compact(F.array(*single_rules(config)))
-    many = [F.coalesce(x, none) for x in many_rules(config)]
+    single = F.array_compact(F.array(F.lit(None).cast(FOUND), *single_rules(config, only)))
+    many = [F.coalesce(x, none) for x in many_rules(config, only)]
     rows = f.select(*TEST, "nsql", "sql", "stack_trace", F.explode(F.concat(single, *many)).alias("x"))
     query = F.when(F.col("x.code") == "excessive-column-fetch", F.col("sql")).otherwise(F.col("nsql"))
     return rows.select(*TEST, "x.code", "x.severity", query.alias("query"), "x.table_name", "x.column_name", "x.detail", F.col("stack_trace").alias("source_location"))
