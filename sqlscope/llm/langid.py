@@ -161,7 +161,8 @@ def train(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> dict
     chosen = known.withColumn("u", u).join(rates, F.col("lang") == F.col("l")).filter("u < rate")
     # the rates keep max_rows in expectation; the limit bounds what one task reads
     chosen = chosen.select(F.xxhash64(F.lit(1), "doc_id").alias("order"), "lang", "text").limit(2 * max_rows)
-    return pickle.loads(chosen.repartition(1).mapInArrow(_learn, "model binary").first().model)
+    learned = chosen.repartition(1).mapInArrow(_learn, "model binary").first()
+    return pickle.loads(learned.model) if learned else None  # no row at all if Spark sees that nothing can be chosen
 
 
 def _whole():

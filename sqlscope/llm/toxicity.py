@@ -100,6 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int =
     examples = chosen.mapInArrow(_examples, "order long, label int, x array<int>")
     # one task learns: max_rows documents, 2**BITS features each at most
     model = examples.repartition(1).mapInArrow(_learn, "at binary, weight binary").first()
+    if model is None:  # Spark saw that nothing can be chosen
+        return np.zeros(0, np.int32), np.zeros(0)
     return np.frombuffer(model.at, np.int32), np.frombuffer(model.weight, np.float64)
 
 
