@@ -94,13 +94,14 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
-    """``docs`` with shard and slot: repeated rows are numbered on both sides, so each gets one slot."""
-    names = docs.columns
+    """``docs`` with shard and slot (in place of columns of these names). Texts are shuffled once; rows of one id and text take their slots in turn."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
     places = assign(docs, shards, seed)
-    mine = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("shard", "slot")))
-    mine = mine.select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2"), "nth", "shard", "slot")
+    slots = places.groupBy(F.xxhash64("doc_id", "text_hash").alias("key")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text_hash", "shard", "slot"))).alias("slots"))
     body = F.struct(*[F.col(f"`{c}`") for c in names]).alias("body")
-    rows = docs.select(body).select("body", F.col("body.doc_id").alias("id1"), F.xxhash64("body.text").alias("hash1"))
-    rows = rows.withColumn("nth1", F.row_number().over(Window.partitionBy("id1", "hash1").orderBy("hash1")))
-    joined = rows.join(mine, F.col("id1").eqNullSafe(F.col("id2")) & (F.col("hash1") == F.col("hash2")) & (F.col("nth1") == F.col("nth")))
-    return joined.select("body.*", "shard", "slot")
+    rows = docs.select(body).select("body", F.xxhash64("body.doc_id", F.xxhash64("body.text")).alias("own"))
+    joined = rows.join(slots, F.col("own") == F.col("key"))
+    # the join has brought equal rows together, so this window moves nothing
+    turn = Window.partitionBy("own").orderBy(F.col("body.doc_id"), F.xxhash64("body.text"))
+    joined = joined.withColumn("place", F.get("slots", F.row_number().over(turn) - 1))
+    return joined.select("body.*", F.col("place.shard").alias("shard"), F.col("place.slot").alias("slot"))
