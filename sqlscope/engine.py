@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,6 +24,7 @@ class Context:
     lazy: DataFrame | None = None
     explicit: DataFrame | None = None
     count_baseline: DataFrame | None = None
+    return_types: DataFrame | None = None
 
 
 Rule = Callable[[Context], DataFrame]
@@ -68,14 +69,15 @@ def run_rules(c: Context) -> DataFrame:
     if c.count_baseline is not None:
         parts.append(group_rules.count_regression(group_rules.statement_counts(c.log), c.count_baseline))
     parts += [rule(c) for rule in EXTRA.values()]
-    return reduce(lambda a, b: a.unionByName(b), [p.select(*ISSUE) for p in parts])
+    found = reduce(lambda a, b: a.unionByName(b), [p.select(*ISSUE) for p in parts])
+    return reports.by_return_type(found, c.return_types).select(*ISSUE)
 
 
 def audit(log: DataFrame, catalog: DataFrame, config: AuditConfig | None = None, baseline: DataFrame | None = None, **more: DataFrame | None) -> AuditResult:
     """Findings with buckets, a summary row per test, and statement counts. The features are cached once for all rules."""
     config = config or AuditConfig()
     c = context(log, catalog, config, **more)
-    c = Context(c.log, c.features.persist(), c.catalog, c.config, c.lazy, c.explicit, c.count_baseline)
+    c = replace(c, features=c.features.persist())
     found = run_rules(c)
     if not config.enabled:
         found = found.filter("false")

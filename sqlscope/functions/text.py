@@ -192,7 +192,7 @@ def tables(q: Column) -> Column:
 def aliases(q: Column) -> Column:
     """Array of (alias, table): each FROM, JOIN and UPDATE table, commas included, under its alias and its own name."""
     named = rf"({NAME})(?:\s+(?:AS\s+)?({_NOT_ALIAS}{IDENT}))?"
-    p = rf"\b(?:FROM|JOIN|UPDATE)\s+{named}"
+    p = rf"(?:\b(?:FROM|JOIN)|^\s*UPDATE)\s+{named}"
     source = first(q, r"\bFROM\b(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\bUNION\b|\bJOIN\b|\bFOR\b|$)")
     listed = F.slice(F.split(F.coalesce(source, F.lit("")), ","), 2, 1000)
     item = rf"^\s*{named}"

@@ -9,6 +9,7 @@ from sqlscope.config import AuditConfig
 from sqlscope.functions import text as T
 from sqlscope.operators import group_rules
 from sqlscope.schema import IMPACT_POINTS, SEVERITY_POINTS, SEVERITY_RANK, TEST
+from sqlscope.sources import files
 
 
 def severity_rank(severity: Column) -> Column:
@@ -34,6 +35,19 @@ def override(issues: DataFrame, config: AuditConfig) -> DataFrame:
     return issues.withColumn("severity", _mapped(config.severity, F.col("code"), F.col("severity")))
 
 
+def by_return_type(issues: DataFrame, types: DataFrame | None) -> DataFrame:
+    """Unbounded results by what the calling repository method returns, from rows (method, return_type):
+    one entity, an optional or a page is no finding; a collection with a WHERE is worth a hint only."""
+    if types is None:
+        return issues
+    known = types.select(F.col("method").alias("r_method"), F.upper("return_type").alias("r_type")).dropDuplicates(["r_method"])
+    j = issues.join(F.broadcast(known), files.return_type_of(F.col("source_location")) == F.col("r_method"), "left_outer")  # a row per repository method
+    unbounded = F.col("code") == "unbounded-result-set"
+    j = j.filter(~(unbounded & F.coalesce(F.col("r_type").isin("OPTIONAL", "SINGLE_ENTITY", "PAGE_OR_SLICE"), F.lit(False))))
+    hint = unbounded & (F.col("r_type") == "COLLECTION") & T.has_where(F.col("query"))
+    return j.withColumn("severity", F.when(F.coalesce(hint, F.lit(False)), "INFO").otherwise(F.col("severity"))).drop("r_method", "r_type")
+
+
 def acknowledge(issues: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """Adds acknowledged: an entry with the code, and its table and column where it names them (any case)."""
     if baseline is None:

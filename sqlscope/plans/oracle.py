@@ -43,7 +43,7 @@ rep AS (SELECT *, coalesce(nullif(lower(regexp_extract(sq, '(?i)\\bfrom\\s+(\\w+
 _KEYWORDS = "('and', 'or', 'not', 'null', 'where', 'on', 'in', 'is', 'like', 'between', 'case', 'when', 'then', 'else', 'end', 'select', 'from', 'exists')"
 #: Aliases, WHERE columns with their tables, indexed columns, index shapes.
 COLUMNS = rf"""
-named AS (SELECT test_class, nsql, sq, lower(unnest(regexp_extract_all(sq, '(?i)\b(?:from|join|update)\s+(\w+)', 1))) AS tab FROM rep
+named AS (SELECT test_class, nsql, sq, lower(unnest(regexp_extract_all(sq, '(?i)(?:\b(?:from|join)|^\s*update)\s+(\w+)', 1))) AS tab FROM rep
           UNION ALL SELECT test_class, nsql, sq, lower(regexp_extract(sq, '(?i)\bfrom\s+\w+\s*,\s*(\w+)', 1)) FROM rep WHERE regexp_matches(sq, '(?i)\bfrom\s+\w+\s*,\s*\w+')),
 aliased AS (SELECT test_class, nsql, tab, lower(regexp_extract(sq, '(?i)\b' || tab || '\s+(?:as\s+)?(\w+)', 1)) AS al FROM named),
 alias AS (SELECT DISTINCT test_class, nsql, tab, tab AS al FROM named UNION SELECT DISTINCT test_class, nsql, tab, al FROM aliased

@@ -64,7 +64,7 @@ def empty_catalog(spark):
 
 
 def test_empty_log_and_catalog(spark):
-    result = engine.audit(log_of(spark, []) if False else spark.createDataFrame([], QUERY_LOG), empty_catalog(spark))
+    result = engine.audit(spark.createDataFrame([], QUERY_LOG), empty_catalog(spark))
     assert result.issues.count() == 0 and result.summary.count() == 0
     assert set(ISSUE) <= set(result.issues.columns)
 
@@ -78,7 +78,8 @@ def test_setup_statements_count_in_the_summary_only(spark):
     log = log_of(spark, ["SELECT * FROM users WHERE id = 1"], phase="SETUP")
     result = engine.audit(log, empty_catalog(spark))
     assert result.issues.count() == 0 and result.summary.first().total_queries == 1
-    assert engine.audit(log, empty_catalog(spark), AuditConfig(include_setup=True)).issues.count() == 1
+    issues = engine.audit(log, empty_catalog(spark), AuditConfig(include_setup=True)).issues.collect()
+    assert {r.code for r in issues} == {"select-all", "unbounded-result-set"}
 
 
 def test_rules_of_users(spark):
@@ -98,3 +99,14 @@ def test_order_of_the_log_does_not_matter(spark):
     a = engine.audit(log, empty_catalog(spark)).issues.select("code", "query", "test_name").collect()
     b = engine.audit(log.orderBy("sql", "seq"), empty_catalog(spark)).issues.select("code", "query", "test_name").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_return_types(spark):
+    at = datetime.datetime(2024, 1, 1)
+    stack = "jdk.proxy2.$Proxy77.{}:12\napp.Service.run:3"
+    sql = ["SELECT a FROM t WHERE b > 1", "SELECT a FROM t WHERE c > 1", "SELECT a FROM u WHERE c > 1"]
+    rows = [("r", "C", "t", k, s, 0, at, stack.format(m), "TEST") for k, (s, m) in enumerate(zip(sql, ["findOne", "findAll", "other"], strict=True))]
+    types = spark.createDataFrame([("findOne", "OPTIONAL"), ("findAll", "COLLECTION")], "method string, return_type string")
+    issues = engine.audit(spark.createDataFrame(rows, QUERY_LOG), empty_catalog(spark), return_types=types).issues
+    got = {(r.query.split()[3], r.severity) for r in issues.filter("code = 'unbounded-result-set'").collect()}
+    assert got == {("t", "INFO"), ("u", "WARNING")}
