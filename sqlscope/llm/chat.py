@@ -5,6 +5,8 @@ role and text, turn by turn) is rendered once as prompt; what follows on either
 side is rendered as a completion with a loss mask: the character ranges of the
 assistants' texts inside it.
 
+A pair is one output row, so its turns meet in one task; pairs are independent of each other.
+
 Defined results: turns are ordered by turn, then role, then text (nulls first);
 null roles and texts render as empty and equal each other; a side without
 turns gives an empty completion; repeated rows are repeated turns; columns other

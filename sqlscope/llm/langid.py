@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import bucket_of, text_pieces
+from sqlscope.llm.common import bucket_of, slices, text_pieces
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -60,11 +60,12 @@ def trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield i, j, (gram >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(spots + 1, at)
 
 
-def histogram(found: np.ndarray, at: np.ndarray) -> np.ndarray:
-    many = len(at) - 1
-    owner = np.repeat(np.arange(many), np.diff(at))
-    counts = np.bincount(owner * (1 << BITS) + found, minlength=many << BITS).reshape(many, 1 << BITS).astype(np.float32)
-    return counts / np.maximum(1, np.diff(at))[:, None] * _SCALE
+def frequencies(texts: list[np.ndarray]) -> np.ndarray:
+    """A row of relative trigram frequencies per text."""
+    x = np.zeros((len(texts), 1 << BITS), np.float32)
+    for row, found in zip(x, texts, strict=True):
+        row += np.bincount(found, minlength=1 << BITS) * np.float32(_SCALE / max(1, len(found)))
+    return x
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Generator, epochs: int = 12) -> np.ndarray:
@@ -79,13 +80,14 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Gener
     return w
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 15) -> np.ndarray:
-    """Weights by stochastic subgradients of the hinge loss; y: -1 or 1."""
+def fit_svm(x: np.ndarray, chosen: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 15) -> np.ndarray:
+    """Weights by stochastic subgradients of the hinge loss over the chosen rows; y: -1 or 1 of each."""
     w, mean, seen = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0
     for e in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
-            wrong = y[rows] * (x[rows] @ w) < 1
-            w = w * np.float32(1 - 1e-4) + 0.5 / (1 + e) * (y[rows][wrong, None] * x[rows][wrong]).sum(axis=0) / len(rows)
+        for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 32)):
+            some, sign = x[chosen[part]], y[part]
+            wrong = sign * (some @ w) < 1
+            w = w * np.float32(1 - 1e-4) + 0.5 / (1 + e) * (sign[wrong, None] * some[wrong]).sum(axis=0) / len(part)
             mean, seen = mean + w, seen + 1
     return mean / max(1, seen)
 
@@ -101,8 +103,8 @@ def fit(x: np.ndarray, langs: list[str], seed: int = 7) -> dict:
     columns, pairs = [fit_softmax(x, kin, len(families), rng)], []
     for f in families:
         for p, q in combinations([k for k, n in enumerate(names) if family[n] == f], 2):
-            rows = (lang == p) | (lang == q)
-            columns.append(fit_svm(x[rows], np.where(lang[rows] == p, 1, -1).astype(np.float32), rng)[:, None])
+            rows = np.flatnonzero((lang == p) | (lang == q))
+            columns.append(fit_svm(x, rows, np.where(lang[rows] == p, 1, -1).astype(np.float32), rng)[:, None])
             pairs.append((p, q))
     return {"names": names, "families": families, "family_of": [families.index(family[n]) for n in names], "pairs": pairs, "w": np.concatenate(columns, axis=1).astype(np.float32)}
 
@@ -133,19 +135,13 @@ def decide(model: dict, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pickle
 
-    parts, langs, order = [], [], []
-    for b in batches:
+    rows: list[tuple] = []
+    for b in slices(batches):
         for i, j, found, at in trigrams(b["text"]):
-            for k in range(i, j, 64):  # few dense rows at once
-                z = min(j, k + 64)
-                o = at[k - i : z - i + 1]
-                parts.append(histogram(found[o[0] : o[-1]], o - o[0]))
-            langs += b["lang"].slice(i, j - i).to_pylist()
-            order += b["order"].slice(i, j - i).to_pylist()
-    model = None
-    if parts:
-        rows = sorted(range(len(langs)), key=lambda r: (order[r], langs[r]))
-        model = fit(np.concatenate(parts)[rows], [langs[r] for r in rows])
+            texts = np.split(found.astype(np.uint16), at[1:-1])
+            rows += zip(b["order"].slice(i, j - i).to_pylist(), b["lang"].slice(i, j - i).to_pylist(), texts, strict=True)
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    model = fit(frequencies([r[2] for r in rows]), [r[1] for r in rows]) if rows else None
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
@@ -174,7 +170,7 @@ def _whole():
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in slices(batches):
             lang, sure = np.zeros(len(b), np.int64), np.zeros(len(b))
             letters = pc.fill_null(pc.match_substring_regex(b["text"], r"\p{L}"), False).to_numpy(zero_copy_only=False) if m else np.zeros(len(b), bool)
             if m:
@@ -203,7 +199,7 @@ def _keep(model, least: float):
     predict = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = next(predict(iter([pa.RecordBatch.from_arrays([b["text"]], names=["text"])])))
             good = pc.and_(pc.not_equal(found["lang_pred"], "und"), pc.greater_equal(found["score"], least))
             yield b.filter(good)

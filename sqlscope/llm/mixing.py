@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import materialize
+from sqlscope.llm.common import materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,7 +86,8 @@ def cuts(rows: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFram
     # the range where the words left run out
     edge = sums.filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
     edge = edge.select(F.col("source").alias("s3"), F.col("range").alias("r3"), "before")
-    inside = keyed.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s3")) & (F.col("range") == F.col("r3")))  # a row per source at most
+    edge = small(materialize(edge, "mix-edge"))  # a row per source at most
+    inside = keyed.join(edge, F.col("source").eqNullSafe(F.col("s3")) & (F.col("range") == F.col("r3")))
     upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
     fits = inside.filter(F.col("upto") + F.col("size") / 2 <= F.col("left"))
@@ -98,7 +99,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFram
 
 def keys(rows: DataFrame, goal: DataFrame) -> DataFrame:
     goal = goal.withColumnRenamed("source", "goal_source")
-    joined = rows.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")  # a row per source
+    joined = rows.join(small(goal), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")  # a row per source
     p, u = F.col("p"), F.col("u")
     key = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
     return joined.withColumn("key", key).withColumn("range", F.floor(F.col("u") * F.col("ranges")))

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from sqlscope.llm.common import materialize
 
-#: Rows that a source partition, or a range of a shard, holds on average.
-PART_ROWS = 8192
+#: Rows that a source partition, or a range of a shard, holds on average; source partitions at most.
+#: Beyond that many partitions they hold more rows, so the matrix and its broadcast stay bounded.
+PART_ROWS, MAX_PARTS = 8192, 65_536
 
 
 def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -68,16 +69,16 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     rows = rows.withColumn("r1", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("r2", F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"))
     rows = materialize(rows, "shard-rows")
     total = rows.count()
-    parts = max(1, -(-total // PART_ROWS))
+    parts = max(1, min(-(-total // PART_ROWS), MAX_PARTS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "r1"), F.lit(parts)).cast("int"))
-    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per 8192 rows
+    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # MAX_PARTS numbers at most
     matrix = communication_matrix(np.array([counts.get(p, 0) for p in range(parts)], dtype=np.int64), shards, seed)
     start = np.cumsum(matrix, axis=1) - matrix
     deal = spark.createDataFrame(
         [(p, [int(x) for x in start[p]]) for p in range(parts)] or [(0, [0] * shards)], "part int, starts array<bigint>"
     )
     local = Window.partitionBy("part").orderBy("r1", "doc_id", "text_crc32")
-    placed = rows.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(deal), "part")  # a row per partition
+    placed = rows.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(deal), "part")  # MAX_PARTS rows at most
     # the last shard that starts at or before this rank
     shard = F.size(F.filter("starts", lambda s: s <= F.col("rank"))) - 1
     placed = placed.withColumn("shard", shard.cast("int"))

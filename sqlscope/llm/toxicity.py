@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import _N, bucket_of, hashed_words, mix
+from sqlscope.llm.common import _N, bucket_of, hashed_words, mix, slices
 
 BITS = 20
 #: Labelled documents that are learned from at most, and passes over them.
@@ -74,7 +74,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x: list = [None] * len(b)
         for i, j, owner, found in features(b["text"]):
             both = np.unique(owner.astype(np.int64) << 32 | found)
@@ -111,7 +111,7 @@ def _score(model):
         w = np.zeros((1 << BITS) + 1)
         w[index] = value
         used = w != 0
-        for b in batches:
+        for b in slices(batches):
             total = np.full(len(b), w[1 << BITS])
             for i, j, owner, found in features(b["text"]):
                 hit = used[found]
