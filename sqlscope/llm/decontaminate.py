@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Every run of ``width`` item words (an item of fewer, but not none, as one run)
-is a window. Hashes of the windows are broadcast when their number is within
-``broadcast_windows`` (else shuffled); each document position probes them with
-the hash of its own run, and a hit counts only after its words are compared.
+is a window. A document is cut into blocks of half a window: wherever a window
+occurs, it holds a whole block. So a block's hash probes the hashes of all
+half-window runs inside windows, which are broadcast when their number is within
+``broadcast_windows`` (else shuffled), and tells where the window would start; a
+hit counts only after all its words are compared.
 
 Defined results: a null or empty text has no words and is clean; a null item
 text has no windows; items with a null id mark hits but are not listed; repeated
@@ -30,21 +32,22 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """(w_hash, w_len, w_words, w_items) of each distinct window."""
+    """(w_len, w_words, w_items) of each distinct window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
     n, size = F.size("words"), F.least(F.size("words"), F.lit(width))
     starts = items.filter(n > 0).select("item", "words", size.alias("w_len"), F.explode(F.sequence(F.lit(1), n - size + 1)).alias("at"))
     runs = starts.select("item", "w_len", F.slice("words", F.col("at"), F.col("w_len")).alias("w_words"))
-    return (
-        runs.groupBy("w_words", "w_len")
-        .agg(F.collect_set("item").alias("w_items"))
-        .select(F.xxhash64("w_words").alias("w_hash"), "w_len", "w_words", "w_items")
-    )
+    return runs.groupBy("w_words", "w_len").agg(F.collect_set("item").alias("w_items"))
+
+
+def block_of(width: int) -> int:
+    """Words of a block: the largest so that any ``width`` words in a row hold an aligned one."""
+    return (width + 1) // 2
 
 
-def run_hashes(words: Column, k: int) -> Column:
-    """Hash of the ``k`` words from each position on."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda s: F.xxhash64(F.slice(words, s, k)))
+def block_hashes(words: Column, k: int) -> Column:
+    """Hashes of the aligned blocks of ``k`` words; there is one at least."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / k).cast("int") - 1), lambda j: F.xxhash64(F.slice(words, j * k + 1, k)))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
@@ -54,24 +57,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
     """
     windows = benchmark_windows(benchmark, width).cache()
     lengths = sorted((r.w_len for r in windows.select("w_len").distinct().collect()), reverse=True)  # at most ``width`` numbers
+    block = F.floor((F.col("w_len") + 1) / 2).cast("int")
+    runs = windows.withColumn("w_at", F.explode(F.sequence(F.lit(0), F.col("w_len") - block))).withColumn("w_hash", F.xxhash64(F.slice("w_words", F.col("w_at") + 1, block)))
     if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        windows = F.broadcast(windows)
+        runs = F.broadcast(runs)
 
     base = docs.select("doc_id", F.xxhash64("text").alias("fp"), F.length("text").alias("chars"), words_of(F.col("text")).alias("words"))
     base = base.withColumn("n_words", F.size("words"))
     # position 0 stands for the document itself, so one pass gives both the document and its hits
     probes = [F.array(F.lit(None).cast("long"))]
-    size, at, upto = F.lit(0), F.col("idx"), F.lit(1)
-    for k in lengths:
-        many = F.greatest(F.col("n_words") - k + 1, F.lit(0))
-        probes.append(F.when(F.col("n_words") >= k, run_hashes(F.col("words"), k)).otherwise(F.array().cast("array<bigint>")))
-        size = F.when(F.col("idx") >= upto, F.lit(k)).otherwise(size)
-        at = F.when(F.col("idx") >= upto, F.col("idx") - upto + 1).otherwise(at)
-        upto = upto + many
+    size, first, upto = F.lit(0), F.lit(1), F.lit(1)
+    for n in lengths:
+        k = block_of(n)
+        probes.append(F.when(F.col("n_words") >= n, block_hashes(F.col("words"), k)).otherwise(F.array().cast("array<bigint>")))
+        size = F.when(F.col("idx") >= upto, F.lit(n)).otherwise(size)
+        first = F.when(F.col("idx") >= upto, (F.col("idx") - upto) * k + 1).otherwise(first)
+        upto = upto + F.when(F.col("n_words") >= n, F.floor(F.col("n_words") / k)).otherwise(0)
     flat = base.select("doc_id", "fp", "chars", "n_words", "words", F.posexplode(F.concat(*probes)).alias("idx", "hash"))
-    placed = flat.withColumn("len", size).withColumn("at", at)
-    same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")) & (F.slice("words", F.greatest(F.col("at"), F.lit(1)), F.greatest(F.col("len"), F.lit(0))) == F.col("w_words"))
-    found = placed.join(windows, same, "left_outer").filter((F.col("idx") == 0) | F.col("w_hash").isNotNull())
+    placed = flat.withColumn("len", size).withColumn("first", first)
+    at = F.col("first") - F.col("w_at")
+    same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")) & (at >= 1) & (F.slice("words", F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.col("w_len"), F.lit(0))) == F.col("w_words"))
+    found = placed.join(runs, same, "left_outer").filter((F.col("idx") == 0) | F.col("w_hash").isNotNull()).withColumn("at", at.cast("int"))
     hit = F.col("idx") > 0
     per_doc = found.groupBy("doc_id", "fp", "chars", "n_words").agg(
         F.count_if(~hit).alias("copies"),
