@@ -105,14 +105,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each maximal run where ``inside`` holds; ``data``: uint8."""
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return start, np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    start, _, words = split_words(data, inside, np.zeros(0, np.int64))
+    return start, words
 
 
 def slices(batches, rows: int = 1024):
@@ -169,12 +163,12 @@ def hashed_words(column: pa.Array, fold: np.ndarray, is_word: np.ndarray):
             continue
         inside = is_word[data]
         # texts touch each other in the buffer: a word must not run over a border
-        start, words = _split_words(fold[data], inside, offsets)
+        start, _, words = split_words(fold[data], inside, offsets)
         yield i, j, words, np.searchsorted(start, offsets)
 
 
-def _split_words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As word_hashes, and a word ends where a text ends."""
+def split_words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each maximal run where ``inside`` holds; one ends where a text ends (``offsets``)."""
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begins, ends = edge == 1, edge == -1
     cut = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
@@ -183,8 +177,8 @@ def _split_words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> t
     ends[cut] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
     if not len(start):
-        return start, np.zeros(0, np.uint64)
+        return start, end, np.zeros(0, np.uint64)
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))

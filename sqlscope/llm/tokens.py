@@ -21,24 +21,40 @@ gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sqlscope.llm import files
-from sqlscope.llm.common import scratch_path
+from sqlscope.llm.common import scratch_path, slices, split_words, text_pieces
 
 MAGIC, BLOCK = b"PFT1", 1024
 _HEAD = struct.Struct("<IBHH")
-#: Words whose ids a task remembers; the memory starts again beyond.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (about 40 bytes each); the memory starts again beyond.
+REMEMBERED = 2_500_000
+#: Words of letters that are kept for their marked forms; as many older ones stay beside them.
+STEMS = 150_000
+#: Widths at which packed bits are whole little-endian numbers.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values, one after another from the lowest bit on: a row of bytes each."""
+    if width in _WHOLE:
+        return np.ascontiguousarray(values.astype(_WHOLE[width])).view(np.uint8).reshape(len(values), -1)
+    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def pack_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
@@ -55,9 +71,7 @@ def pack_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
         done: dict[int, bytes] = {}
         for w in np.unique(widths):
             rows = np.flatnonzero(widths == w)
-            bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
-            for r, p in zip(rows, packed, strict=True):
+            for r, p in zip(rows, pack_bits(rest[rows], int(w)), strict=True):
                 high = rest[r] >> np.uint32(w) if w < 32 else np.zeros(BLOCK, np.uint32)
                 spots = np.flatnonzero(high)
                 done[int(r)] = _HEAD.pack(int(low[r]), int(w), BLOCK, len(spots)) + p.tobytes() + spots.astype("<u2").tobytes() + high[spots].astype("<u4").tobytes()
@@ -67,10 +81,9 @@ def pack_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
         low = int(tail.min())
         rest = tail - np.uint32(low)
         w = int(np.sort(rest)[max(0, int(np.ceil(percentile * len(tail))) - 1)]).bit_length()
-        bits = ((rest[:, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
         high = rest >> np.uint32(w) if w < 32 else np.zeros(len(tail), np.uint32)
         spots = np.flatnonzero(high)
-        out.append(_HEAD.pack(low, w, len(tail), len(spots)) + np.packbits(bits.reshape(-1), bitorder="little").tobytes() + spots.astype("<u2").tobytes() + high[spots].astype("<u4").tobytes())
+        out.append(_HEAD.pack(low, w, len(tail), len(spots)) + pack_bits(rest[None, :], w)[0].tobytes() + spots.astype("<u2").tobytes() + high[spots].astype("<u4").tobytes())
     return out
 
 
@@ -78,39 +91,172 @@ def unpack_block(data: memoryview | bytes, at: int = 0) -> np.ndarray:
     low, w, n, spots = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     size = -(-n * w // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * w].reshape(n, w)
-    ids = np.zeros(n, np.uint32)
-    for k in range(w):
-        ids |= bits[:, k].astype(np.uint32) << np.uint32(k)
+    if w in _WHOLE:
+        ids = np.frombuffer(data, _WHOLE[w], n, at).astype(np.uint32)
+    else:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * w].reshape(n, w)
+        ids = np.zeros(n, np.uint32)
+        for k in range(w):
+            ids |= bits[:, k].astype(np.uint32) << np.uint32(k)
     if spots:
         where = np.frombuffer(data, "<u2", spots, at + size)
         ids[where] |= np.frombuffer(data, "<u4", spots, at + size + 2 * spots) << np.uint32(w)
     return ids + np.uint32(low)
 
 
+#: Byte-level vocabularies write a byte as a visible character: those of Latin-1 that are visible stay, the others follow from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_BYTE_CHAR = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
+
+def byte_level(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTE_CHAR)
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, 0x0A]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes whose words are hashed at once; longer words than LONG are told apart by themselves.
+PIECE, LONG = 1 << 20, 255
+
+
 class Encoder:
-    """Token ids of a text. What lies between blanks and line ends is encoded once and remembered:
-    the vocabulary drops white space and no token spans it."""
+    """Token ids of texts. What lies between blanks and line ends is encoded once and remembered by a
+    64-bit hash: the vocabulary drops white space and no token spans it. Words of Latin letters go to the
+    model directly in lower case, marks behind them apart, as the vocabulary splits them so; all else
+    takes the whole way."""
+
+    _LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    #: Letters, then marks that the vocabulary takes as one run (an apostrophe may start a piece of its own).
+    _MARKED = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+        state = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (state.get("normalizer") or {}).get("normalizers", [])]
+        suffix = state["model"].get("end_of_word_suffix")
+        #: Whether words may go to the model: BPE with word ends over lower-cased text, split at letters.
+        self.direct = state["model"]["type"] == "BPE" and bool(suffix) and "Lowercase" in kinds and not state["model"].get("continuing_subword_prefix")
+        self.model = self.tokenizer.model
+        self.base: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the numbering again."""
+        #: Hashes in order, and beside each the number of its word; ids, their start and their count by number.
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters, packed."""
+        ids = self.base.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = packed([t.id for t in self.model.tokenize(word if word.isascii() else byte_level(word))])
+            if len(self.base) >= STEMS:
+                self.older, self.base = self.base, {}
+            self.base[word] = ids
+        return ids
+
+    def encode(self, word: str) -> bytes:
+        if self.direct:
+            low = word.lower()
+            if self._LETTERS.fullmatch(low):
+                return self._word(low)
+            if m := self._MARKED.fullmatch(low):
+                marks = self.marks.get(m[2])
+                if marks is None:
+                    marks = self._whole(m[2])
+                    if len(self.marks) < 10_000:
+                        self.marks[m[2]] = marks
+                return self._word(m[1]) + marks if m[1] else marks
+        return self._whole(word)
+
+    def _whole(self, word: str) -> bytes:
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, and where each text's begin."""
+        raw = data.tobytes()
+        if self.direct and b"<|" not in raw:  # special tokens are told apart by case
+            data = _LOWER[data]
+            raw = data.tobytes()
+        start, end, found = split_words(data, ~_GAP[data], offsets)
+        distinct, first, inverse = np.unique(found, return_index=True, return_inverse=True)
+        if len(self.start) + len(distinct) > REMEMBERED:
+            self.forget()
+        spot = np.searchsorted(self.keys, distinct)
+        numbers = np.full(len(distinct), -1, np.int64)
+        inner = np.flatnonzero(spot < len(self.keys))
+        inner = inner[self.keys[spot[inner]] == distinct[inner]]
+        numbers[inner] = self.number[spot[inner]]
+        missing = np.flatnonzero(numbers < 0)
+        known = len(self.start)
+        new = [self.encode(raw[a:z].decode()) for a, z in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)]
+        numbers[missing] = known + np.arange(len(missing))
+        self.keys, self.number = np.insert(self.keys, spot[missing], distinct[missing]), np.insert(self.number, spot[missing], numbers[missing])
+        words = numbers[inverse]
+        for i in np.flatnonzero(end - start > LONG):
+            words[i] = known + len(new)
+            new.append(self.encode(raw[start[i] : end[i]].decode()))
+        if new:
+            lengths = np.fromiter(map(len, new), np.int64, len(new)) // 4
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), np.uint32)])
+        return words, np.searchsorted(start, offsets)
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a piece, and how many each has."""
+        words, at = self._numbers(data, offsets)
+        size = self.length[words]
+        before = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(int(before[-1]))
+        return self.flat[place + np.repeat(self.start[words] - before[:-1], size)], np.diff(before[at])
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and how many each has; a null text is empty."""
+        out, counts, mark = [], [], np.array([end_id], np.uint32)
+        for i, j, data, offsets in text_pieces(pc.fill_null(texts, ""), PIECE):
+            if len(data) <= PIECE:
+                ids, many = self._ids(data, offsets)
+                out.append(np.insert(ids, np.cumsum(many), end_id))
+                counts.append(many + 1)
+                continue
+            total, at = 1, 0  # one long text, cut between words
+            while at < len(data):
+                stop = min(at + PIECE, len(data))
+                while stop < len(data) and not _GAP[data[stop]]:
+                    more = np.flatnonzero(_GAP[data[stop : stop + PIECE]])
+                    stop = stop + int(more[0]) if len(more) else min(stop + PIECE, len(data))
+                out.append(self._ids(data[at:stop], np.array([0, stop - at]))[0])
+                total += len(out[-1])
+                at = stop
+            out.append(mark)
+            counts.append(np.array([total]))
+        return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """One per worker, so that tasks after the first know most words."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 @dataclass
@@ -142,20 +288,22 @@ class TokenWriter(DataSourceArrowWriter):
                 at += len(b)
             waiting, held = [ids[n:]], len(ids) - n
 
-        for batch in iterator:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    system, folder, name = files.new_file(self.path, ".pft")
-                    out = system.open_output_stream(f"{folder}/{name}", compression=None)
-                    out.write(MAGIC)
-                    encode = Encoder(self.tokenizer)
-                ids = np.array([*encode(text.as_py() or ""), self.end_id], np.uint32)
-                docs.append([doc_id, n_ids, len(ids)])
-                n_ids += len(ids)
-                waiting.append(ids)
-                held += len(ids)
-                if held >= 1 << 18:
-                    flush(False)
+        for batch in slices(iterator):
+            if not len(batch):
+                continue
+            if out is None:
+                system, folder, name = files.new_file(self.path, ".pft")
+                out = system.open_output_stream(f"{folder}/{name}", compression=None)
+                out.write(MAGIC)
+                encode = encoder(self.tokenizer)
+            ids, many = encode(batch.column(1), self.end_id)
+            starts = n_ids + np.cumsum(many) - many
+            docs += zip(batch.column(0).to_pylist(), starts.tolist(), many.tolist(), strict=True)
+            n_ids += len(ids)
+            waiting.append(ids)
+            held += len(ids)
+            if held >= 1 << 18:
+                flush(False)
         if out is None:
             return _Written([])
         flush(True)
