@@ -58,8 +58,8 @@ def run_rules(c: Context) -> DataFrame:
     """All findings before suppression. Rules of shape P cost one pass together; the others reuse the features."""
     parts = [predicate_rules.evaluate(c.features, c.config), predicate_rules.conversions(c.features)]
     parts += catalog_rules.evaluate(c.features, c.catalog, c.config)
-    parts += [f(c.features, c.config) for f in (group_rules.n_plus_one_suspect, group_rules.repeated_insert, group_rules.slow_query)]
-    parts += [f(c.log, c.config) for f in (group_rules.mergeable, group_rules.collection_reinsert, group_rules.derived_delete)]
+    parts += [f(c.features, c.config) for f in (group_rules.n_plus_one_suspect, group_rules.repeated_insert, group_rules.slow_query, group_rules.mergeable)]
+    parts += [f(c.log, c.config) for f in (group_rules.collection_reinsert, group_rules.derived_delete)]
     if "duplicate-query" not in c.config.disabled:
         parts.append(group_rules.duplicate_query(c.log, c.config))
     if c.lazy is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscope.config import AuditConfig
@@ -29,13 +29,13 @@ def repeated_insert(f: DataFrame, config: AuditConfig) -> DataFrame:
     return issue(f.filter((F.col("op") == "INSERT") & ~multi & (F.col("n") >= config.repeated_insert)), "repeated-single-insert", "WARNING", table="dml", column=None)
 
 
-def mergeable(log: DataFrame, config: AuditConfig) -> DataFrame:
-    """SELECTs of one test alike in table, select list and joins but not in pattern. From a normalized log."""
-    s = log.filter("op = 'SELECT'")
+def mergeable(reps: DataFrame, config: AuditConfig) -> DataFrame:
+    """SELECTs of one test alike in table, select list and joins but not in pattern. From one row per pattern."""
+    s = reps.filter("op = 'SELECT'")
     shape = T.remove_subqueries(F.col("nsql"))
     joined = F.array_join(F.array_sort(F.transform(T.joins(shape), lambda j: F.concat_ws(" ", j["kind"], j["table"]))), ",")
-    s = s.select(*TEST, "seq", "nsql", F.get(T.tables(shape), F.lit(0)).alias("table_name"), F.regexp_replace(F.trim(T.select_list(shape)), r"\s+", " ").alias("cols"), joined.alias("joined"))
-    g = s.filter("table_name is not null and cols is not null").groupBy(*TEST, "table_name", "cols", "joined").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nsql").alias("patterns"), F.min_by("nsql", "seq").alias("nsql"))
+    s = s.select(*TEST, "seq", "nsql", "n", F.get(T.tables(shape), F.lit(0)).alias("table_name"), F.regexp_replace(F.trim(T.select_list(shape)), r"\s+", " ").alias("cols"), joined.alias("joined"))
+    g = s.filter("table_name is not null and cols is not null").groupBy(*TEST, "table_name", "cols", "joined").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("patterns"), F.min_by("nsql", "seq").alias("nsql"))
     return issue(g.filter((F.col("n") >= config.mergeable) & (F.col("patterns") > 1)), "mergeable-queries", "INFO", column=None, detail=F.concat(F.col("patterns").cast("string"), F.lit(" patterns")))
 
 
@@ -44,9 +44,14 @@ def slow_query(f: DataFrame, config: AuditConfig) -> DataFrame:
     return issue(got, "slow-query", F.when(F.col("median_ms") > config.slow_error_ms, "ERROR").otherwise("WARNING"), table="t", column=None, detail=F.concat(F.col("median_ms").cast("string"), F.lit(" ms")))
 
 
+def _source(sql: Column) -> Column:
+    """The first FROM table."""
+    return T.plain(T.first(sql, rf"\bFROM\s+({T.NAME})"))
+
+
 def _runs(log: DataFrame) -> DataFrame:
     """Runs of consecutive statements with one operation and target: run number, and target table."""
-    table = F.coalesce(T.dml_table(F.col("sql")), F.get(T.tables(F.col("sql")), F.lit(0)))
+    table = F.when(F.col("op") == "SELECT", _source(F.col("sql"))).otherwise(T.dml_table(F.col("sql")))
     w = Window.partitionBy(*TEST).orderBy("seq")
     x = log.withColumn("target", table)
     change = ~(F.lag("op").over(w).eqNullSafe(F.col("op")) & F.lag("target").over(w).eqNullSafe(F.col("target")))
@@ -57,7 +62,7 @@ def collection_reinsert(log: DataFrame, config: AuditConfig) -> DataFrame:
     """A DELETE by one to four columns followed at once by INSERTs into its table; with several columns all inserted values must agree with the deleted ones."""
     x = _runs(log)
     pairs_of = lambda w: F.arrays_zip(T.every(w, r"(?:\w+\.)?(\w+)\s*=\s*(?:\?|\d+|'[^']*')", 1), T.every(w, r"(?:\w+\.)?\w+\s*=\s*(\?|\d+|'[^']*')", 1))
-    w = F.coalesce(T.where_body(F.col("sql")), F.lit(""))
+    w = F.coalesce(F.when(F.col("op") == "DELETE", T.where_body(F.col("sql"))), F.lit(""))
     x = x.withColumn("refs", T.where_refs(w)).withColumn("eq", pairs_of(w))
     cols = F.transform(F.split(T.first(F.col("sql"), r"\bINTO\s+[\w`\".]+\s*\(([^)]*)\)"), ","), lambda c: T.plain(F.trim(c)))
     vals = F.transform(F.split(T.first(F.col("sql"), r"\bVALUES\s*\(([^)]*)\)"), ","), F.trim)
@@ -76,14 +81,14 @@ def collection_reinsert(log: DataFrame, config: AuditConfig) -> DataFrame:
 def derived_delete(log: DataFrame, config: AuditConfig) -> DataFrame:
     """A SELECT with WHERE on a table, then (SELECTs may lie between) DELETEs from it by one equality each."""
     x = _runs(log.filter("op <> 'SELECT'"))
-    refs = T.where_refs(F.coalesce(T.where_body(F.col("sql")), F.lit("")))
+    refs = T.where_refs(F.coalesce(F.when(F.col("op") == "DELETE", T.where_body(F.col("sql"))), F.lit("")))
     single = F.coalesce((F.size(refs) == 1) & (F.get(refs, F.lit(0))["op"] == "="), F.lit(False))
     x = x.withColumn("ok", (F.col("op") == "DELETE") & single)
     w = Window.partitionBy(*TEST).orderBy("seq")
     x = x.withColumn("part", F.sum((~F.col("ok") | (F.lag("run").over(w) != F.col("run")) | ~F.coalesce(F.lag("ok").over(w), F.lit(False))).cast("int")).over(w))
     tail = Window.partitionBy(*TEST, "part").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
     x = x.withColumn("following", F.when(F.col("ok"), F.count(F.lit(1)).over(tail)).otherwise(0))
-    s = log.filter("op = 'SELECT'").filter(T.has_where(F.col("sql"))).withColumn("target", F.get(T.tables(F.col("sql")), F.lit(0)))
+    s = log.filter("op = 'SELECT'").filter(T.has_where(F.col("sql"))).withColumn("target", _source(F.col("sql")))
     both = s.select(*TEST, "seq", "sql", "target", F.lit(None).cast("struct<t:string,k:bigint>").alias("nxt"), F.lit(True).alias("is_select")).unionByName(
         x.select(*TEST, "seq", "sql", "target", F.struct(F.col("target").alias("t"), F.col("following").cast("bigint").alias("k")).alias("nxt"), F.lit(False).alias("is_select"))
     )

@@ -199,7 +199,7 @@ DUPLICATE_SQL = f"""WITH {O.LOG}, d AS (SELECT test_class, CAST(seq % 97 AS VARC
 def mergeable(spark: SparkSession, sf: str) -> DataFrame:
     """On single-table SELECTs without subqueries, where SQL can tell the select list."""
     log = _log(spark, sf).filter(~F.col("sql").rlike(r"(?is)join|\(\s*select|^\s*with|union"))
-    return group_rules.mergeable(log, CONFIG).select("test_class", "query", "table_name", "detail")
+    return group_rules.mergeable(features.representatives(log), CONFIG).select("test_class", "query", "table_name", "detail")
 
 
 MERGEABLE_SQL = rf"""WITH {O.LOG}, s AS (SELECT test_class, seq, nsql, regexp_extract(nsql, '\bfrom\s+(\w+)', 1) AS tab, trim(regexp_extract(nsql, '^select\s+(.*?)\bfrom\b', 1)) AS cols FROM tested
