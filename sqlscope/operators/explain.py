@@ -6,9 +6,8 @@ import re
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Patterns that are planned at most; planning runs on the driver.
-MAX_STATEMENTS = 1000
 _SCHEMA = "query string, code string, severity string, table_name string, detail string"
 
 
@@ -25,10 +24,12 @@ def facts(plan: str) -> list[tuple[str, str, str | None]]:
     return out
 
 
-def explain(spark: SparkSession, patterns: DataFrame, limit: int = MAX_STATEMENTS) -> DataFrame:
-    """``patterns``: rows (sql, op). Placeholders become 1; statements that Spark can't plan are left out."""
+def explain(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """``log``: rows (seq, sql, op, nsql). Plans the first statement of each SELECT pattern; placeholders become 1,
+    statements that Spark can't plan are left out. Planning runs on the driver, partition by partition of the patterns."""
     found = []
-    for r in patterns.filter("op = 'SELECT'").select("sql").distinct().orderBy("sql").limit(limit).collect():  # ``limit`` texts
+    firsts = log.filter("op = 'SELECT'").groupBy("nsql").agg(F.min(F.struct("seq", "sql")).alias("first")).select("nsql", "first.sql").orderBy("nsql")
+    for r in firsts.toLocalIterator():
         try:
             plan = spark.sql(re.sub(r"\?", "1", r.sql))._jdf.queryExecution().sparkPlan().toString()
         except PySparkException:

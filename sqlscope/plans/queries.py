@@ -425,8 +425,7 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
 def explain_plans(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("orders", "customer", "part", "lineitem"):
         spark.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(name)
-    patterns = features.normalized(W.query_log(spark, sf).filter("seq < 101"))
-    return explain.explain(spark, patterns)
+    return explain.explain(spark, _log(spark, sf, tested=False))
 
 
 def full_audit(spark: SparkSession, sf: str) -> DataFrame:
