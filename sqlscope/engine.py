@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from sqlscope.config import AuditConfig
-from sqlscope.operators import catalog_rules, features, group_rules, predicate_rules, reports
+from sqlscope.operators import catalog_rules, explain, features, group_rules, predicate_rules, reports
 from sqlscope.schema import ISSUE
 
 
@@ -25,6 +25,7 @@ class Context:
     explicit: DataFrame | None = None
     count_baseline: DataFrame | None = None
     return_types: DataFrame | None = None
+    plans: DataFrame | None = None
 
 
 Rule = Callable[[Context], DataFrame]
@@ -68,6 +69,8 @@ def run_rules(c: Context) -> DataFrame:
             parts.append(group_rules.find_by_id(c.explicit, c.lazy, c.log))
     if c.count_baseline is not None:
         parts.append(group_rules.count_regression(group_rules.statement_counts(c.log), c.count_baseline))
+    if c.plans is not None:
+        parts.append(explain.findings(c.features, c.plans))
     parts += [rule(c) for rule in EXTRA.values()]
     found = reduce(lambda a, b: a.unionByName(b), [p.select(*ISSUE) for p in parts])
     return reports.by_return_type(found, c.return_types).select(*ISSUE)

@@ -8,7 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCHEMA = "query string, code string, severity string, table_name string, detail string"
+from sqlscope.schema import TEST
+
+_SCHEMA = "nsql string, query string, code string, severity string, table_name string, detail string"
 
 
 def facts(plan: str) -> list[tuple[str, str, str | None]]:
@@ -34,5 +36,12 @@ def explain(spark: SparkSession, log: DataFrame) -> DataFrame:
             plan = spark.sql(re.sub(r"\?", "1", r.sql))._jdf.queryExecution().sparkPlan().toString()
         except PySparkException:
             continue
-        found += [(r.sql, code, severity, table, code) for code, severity, table in facts(plan)]
+        found += [(r.nsql, r.sql, code, severity, table, code) for code, severity, table in facts(plan)]
     return spark.createDataFrame(found, _SCHEMA)
+
+
+def findings(f: DataFrame, plans: DataFrame) -> DataFrame:
+    """``plans`` (rows of explain(): nsql, code, severity, table_name, detail) as findings of each test that runs their pattern. From one row per pattern."""
+    none = F.lit(None).cast("string")
+    got = f.filter("op = 'SELECT'").select(*TEST, "nsql", F.col("sql").alias("query")).join(plans.select("nsql", "code", "severity", "table_name", "detail"), "nsql")
+    return got.select(*TEST, "code", "severity", "query", "table_name", none.alias("column_name"), "detail", none.alias("source_location"))

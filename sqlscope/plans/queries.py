@@ -418,26 +418,30 @@ def issue_json(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.json_lines(_some(spark, sf))
 
 
+def _plans(spark: SparkSession, sf: str, tested: bool = True) -> DataFrame:
+    for name in ("orders", "customer", "part", "lineitem"):
+        spark.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(name)
+    return explain.explain(spark, _log(spark, sf, tested))
+
+
 def report_json(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.report_json(engine.audit(W.query_log(spark, sf), W.index_catalog(spark)))
+    return sinks.report_json(engine.audit(W.query_log(spark, sf), W.index_catalog(spark), plans=_plans(spark, sf)))
 
 
 def explain_plans(spark: SparkSession, sf: str) -> DataFrame:
-    for name in ("orders", "customer", "part", "lineitem"):
-        spark.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(name)
-    return explain.explain(spark, _log(spark, sf, tested=False))
+    return _plans(spark, sf, tested=False)
 
 
 def full_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Every rule of the catalogue in one run, over the log with lazy loads and a count baseline."""
+    """Every rule of the catalogue in one run, over the log with lazy loads, query plans and a count baseline."""
     old, _ = _halves(spark, sf)
-    result = engine.audit(W.query_log(spark, sf), W.index_catalog(spark), lazy=W.lazy_loads(spark, sf), explicit=W.explicit_loads(spark, sf), count_baseline=old)
+    result = engine.audit(W.query_log(spark, sf), W.index_catalog(spark), lazy=W.lazy_loads(spark, sf), explicit=W.explicit_loads(spark, sf), count_baseline=old, plans=_plans(spark, sf))
     return result.issues.groupBy("code", "severity", "bucket").agg(F.count(F.lit(1)).alias("findings"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which findings matter most: the impact ranking of a full audit."""
-    return reports.impact_rank(engine.audit(W.query_log(spark, sf), W.index_catalog(spark)).issues)
+    return reports.impact_rank(engine.audit(W.query_log(spark, sf), W.index_catalog(spark), plans=_plans(spark, sf)).issues)
 
 
 def _tail(sql: str) -> str:

@@ -31,3 +31,26 @@ def test_query_reads_the_whole_log(spark, tmp_path):
     assert {r.code for r in rows} == {"full-scan", "filesort", "temporary-table"}
     patterns = spark.createDataFrame([(r.query, r.code) for r in rows], "sql string, code string")
     assert features.normalized(patterns).groupBy("nsql", "code").count().filter("count > 1").count() == 0
+
+
+def test_plan_findings_pass_suppression_and_baseline(spark):
+    import datetime
+
+    from sqlscope import engine
+    from sqlscope.config import AuditConfig
+    from sqlscope.schema import INDEX_CATALOG, ISSUE_BASELINE, QUERY_LOG
+
+    at = datetime.datetime(2024, 1, 1)
+    sql = [("t1", "SELECT a FROM t WHERE a = 1 ORDER BY b"), ("t2", "SELECT a FROM t WHERE a = 2 ORDER BY b"), ("t2", "SELECT a FROM u")]
+    log = spark.createDataFrame([("r", "C", t, k, s, 0, at, None, "TEST") for k, (t, s) in enumerate(sql)], QUERY_LOG)
+    plans = [("select a from t where a = ? order by b", "filesort", "INFO", None, "x"), ("select a from u", "full-scan", "WARNING", "u", "x"), ("select a from u", "temporary-table", "INFO", None, "x")]
+    plans = spark.createDataFrame(plans, "nsql string, code string, severity string, table_name string, detail string")
+    baseline = spark.createDataFrame([("full-scan", "U", None, "ann", "x")], ISSUE_BASELINE)
+    config = AuditConfig(suppress_issues=("temporary-table",), severity={"filesort": "ERROR"})
+    issues = engine.audit(log, spark.createDataFrame([], INDEX_CATALOG), config, baseline, plans=plans).issues
+    got = {(r.test_name, r.code, r.severity, r.query, r.bucket) for r in issues.filter("code in ('full-scan', 'filesort', 'temporary-table')").collect()}
+    assert got == {("t1", "filesort", "ERROR", sql[0][1], "confirmed"), ("t2", "filesort", "ERROR", sql[1][1], "confirmed"), ("t2", "full-scan", "WARNING", sql[2][1], "acknowledged")}
+
+
+def test_audits_hold_plan_findings(spark):
+    assert {"full-scan", "filesort", "temporary-table"} <= {r.code for r in audit.flagship(spark, SF).collect()}
