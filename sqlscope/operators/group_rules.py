@@ -30,10 +30,10 @@ def repeated_insert(f: DataFrame, config: AuditConfig) -> DataFrame:
 
 
 def mergeable(reps: DataFrame, config: AuditConfig) -> DataFrame:
-    """SELECTs of one test alike in table, select list and joins but not in pattern. From one row per pattern."""
+    """SELECTs of one test alike in table, select list and joins (with their conditions) but not in pattern. From one row per pattern."""
     s = reps.filter("op = 'SELECT'")
     shape = T.remove_subqueries(F.col("nsql"))
-    joined = F.array_join(F.array_sort(F.transform(T.joins(shape), lambda j: F.concat_ws(" ", j["kind"], j["table"]))), ",")
+    joined = F.array_join(F.array_sort(F.transform(T.joins(shape), lambda j: F.concat_ws(" ", j["kind"], j["table"], F.trim(j["body"])))), ",")
     s = s.select(*TEST, "seq", "nsql", "n", F.get(T.tables(shape), F.lit(0)).alias("table_name"), F.regexp_replace(F.trim(T.select_list(shape)), r"\s+", " ").alias("cols"), joined.alias("joined"))
     g = s.filter("table_name is not null and cols is not null").groupBy(*TEST, "table_name", "cols", "joined").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("patterns"), F.min_by("nsql", "seq").alias("nsql"))
     return issue(g.filter((F.col("n") >= config.mergeable) & (F.col("patterns") > 1)), "mergeable-queries", "INFO", column=None, detail=F.concat(F.col("patterns").cast("string"), F.lit(" patterns")))

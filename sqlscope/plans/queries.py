@@ -203,6 +203,11 @@ def mergeable(spark: SparkSession, sf: str) -> DataFrame:
     return group_rules.mergeable(features.representatives(log), CONFIG).select("test_class", "query", "table_name", "detail")
 
 
+def whole_mergeable(spark: SparkSession, sf: str) -> DataFrame:
+    """On all SELECTs; SQL can't tell the select list of each."""
+    return group_rules.mergeable(features.representatives(_log(spark, sf)), CONFIG).select("test_class", "query", "table_name", "detail")
+
+
 MERGEABLE_SQL = rf"""WITH {O.LOG}, s AS (SELECT test_class, seq, nsql, regexp_extract(nsql, '\bfrom\s+(\w+)', 1) AS tab, trim(regexp_extract(nsql, '^select\s+(.*?)\bfrom\b', 1)) AS cols FROM tested
  WHERE op = 'SELECT' AND NOT regexp_matches(sql, '(?is)join|\(\s*select|^\s*with|union')) SELECT test_class, arg_min(nsql, seq) AS query, tab AS table_name, count(DISTINCT nsql) || ' patterns' AS detail FROM s GROUP BY test_class, tab, cols HAVING count(*) >= 3 AND count(DISTINCT nsql) > 1"""
 
@@ -467,6 +472,7 @@ OTHERS: list[tuple[Query, str | None]] = [
     (count_regression, REGRESSION_SQL),
     (duplicate_query, DUPLICATE_SQL),
     (mergeable, MERGEABLE_SQL),
+    (whole_mergeable, None),
     (report_summary, SUMMARY_SQL),
     (statement_counts, f"WITH {O.LOG}, {_COUNTS} SELECT * FROM counts"),
     (query_suppression, f"WITH {O.LOG} SELECT test_class, count(*) AS kept FROM log WHERE NOT contains(lower(sql), 'from part') AND NOT contains(lower(sql), 'nation') GROUP BY 1"),
