@@ -150,7 +150,7 @@ def train(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> dict
     import pickle
 
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & learnable)
-    per_lang = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200)  # a row per language
+    per_lang = known.groupBy("lang").count()  # a row per language
     many = F.count(F.lit(1)).over(_whole())
     rates = F.broadcast(per_lang.select(F.col("lang").alias("l"), (F.lit(float(max_rows)) / many / F.col("count")).alias("rate")))
     u = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
