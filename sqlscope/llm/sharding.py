@@ -52,15 +52,26 @@ def _draw(room: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
             out[s] = n
         elif max(int(r), other) < 10**9:
             out[s] = rng.hypergeometric(int(r), other, n)
-        else:  # the normal limit, held inside the exact bounds
-            mean = n * int(r) / left
-            sd = (mean * (other / left) * (left - n) / max(left - 1, 1)) ** 0.5
-            out[s] = min(max(round(rng.normal(mean, sd)), n - other, 0), int(r), n)
+        else:
+            out[s] = _invert(int(r), other, n, rng)
         n -= int(out[s])
         left = other
     return out
 
 
+def _invert(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` balls are good: inversion of the exact law. What lies 12 deviations and 64 from the mode is less than a double can tell."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = 64 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5)
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1)
+    x = k[:-1]
+    log_p = np.concatenate([[0.0], np.cumsum(np.log(((good - x) / (x + 1)) * ((n - x) / (bad - n + x + 1))))])
+    p = np.cumsum(np.exp(log_p - log_p.max()))
+    return int(k[min(np.searchsorted(p, rng.random() * p[-1], side="right"), len(k) - 1)])
+
+
 def assign(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, text_hash, law, shard, slot of every row."""
     spark = docs.sparkSession
