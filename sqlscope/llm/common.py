@@ -3,18 +3,21 @@ broadcasts and vectorised text hashing."""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest row count of a narrow table that is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 400_000
+#: Largest table, in bytes of its values, that is broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). Where it is unset, a local master gets a temporary one; a cluster must name its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         found = "file://" + tempfile.mkdtemp(prefix="sqlscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,12 +48,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sqlscope/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it again."""
+def materialize(df: DataFrame, name: str, **facts: Column) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it again.
+
+    What was seen while writing is kept beside the result: ``facts["rows"]``, ``facts["bytes"]``
+    (of the values) and the aggregates asked for.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    width = [_width(F.col(f"`{f.name}`"), f.dataType.typeName()) for f in df.schema.fields]
+    total = F.sum(sum(width[1:], width[0])) if width else F.lit(0)
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(total.cast("long"), F.lit(0)).alias("bytes"), *[c.alias(n) for n, c in facts.items()])
+    watched.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    out.facts = {"rows": 0, "bytes": 0} | dict.fromkeys(facts, 0) | {k: v or 0 for k, v in seen.get.items()}
+    return out
+
+
+def _width(c: Column, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if kind in ("array", "map"):
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 8
+    return F.lit(8)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,12 +82,53 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; otherwise as it is, and Spark shuffles it.
+def drop(*tables: DataFrame | None) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            drop_path(t.sparkSession, t.path)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised ``df`` with a broadcast hint if its values have at most ``limit`` bytes; otherwise as it is, and Spark shuffles it."""
+    return F.broadcast(df) if df.facts["bytes"] <= limit else df
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with a worker that gives memory back after each task: workers live on, and so would their heaps."""
 
-    ``df`` must be cheap to count (a materialised table) and its rows narrow.
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def numbered(rows: DataFrame, by: list[str], many: str, part_rows: int = 4096) -> DataFrame:
+    """``rows`` with ``nth``: 1, 2, ... among those that agree in ``by``, of which ``many`` tells the number.
+
+    They are numbered in parts of about ``part_rows`` rows, so no task holds all of a kind. Which row gets which number is not determined.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    parted = materialize(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col(many) / part_rows))), "numbered")
+    counts = parted.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("base"))
+    upto = Window.partitionBy(*by).orderBy("part")
+    counts = counts.select(*[F.col(c).alias(f"{c}_2") for c in by], F.col("part").alias("part_2"), (F.sum("base").over(upto) - F.col("base")).alias("base"))
+    same = F.col("part") == F.col("part_2")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_2"))
+    nth = F.row_number().over(Window.partitionBy(*by, "part").orderBy(F.lit(1)))
+    found = parted.withColumn("nth", nth).join(counts, same).withColumn("nth", F.col("nth") + F.col("base"))
+    return found.select(*rows.columns, "nth")
 
 
 def bucket_of(doc_id: Column, modulus: int) -> Column:
@@ -103,6 +168,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+#: Words of more bytes are hashed by BLAKE2: a polynomial modulo 2**64 can be made to collide on long ones.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each maximal run where ``inside`` holds; ``data``: uint8."""
     start, _, words = split_words(data, inside, np.zeros(0, np.int64))
@@ -181,4 +250,7 @@ def split_words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tu
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        words[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return start, end, words

@@ -68,6 +68,53 @@ def test_warc_pushdown_skips_payloads():
     assert list(warc.WarcReader({"path": "x"}).records(warc._Stream(File(b""), 0, None))) == []
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Many records in one gzip member, several such members, ids with leading zeros or none that are numbers, blank lines, trailing bytes."""
+    def record(k, page_id, size):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes([97 + k]) * size
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: " + page_id + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    one = b"".join(record(k, b"%02d" % k, 10 + 300_000 * (k == 3)) for k in range(5))
+    two = b"\r\n\r\n" + record(5, b"x7", 20) + record(7, b"07", 0)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    (tmp_path / "b.warc").write_bytes(record(8, b"8", 5) + b"no archive")
+    warc.register(spark)
+    read = spark.read.format("warc").load(str(tmp_path))
+    rows = {(r.page_id, len(r.payload)) for r in read.collect()}
+    assert rows == {(0, 10), (1, 10), (2, 10), (3, 300_010), (4, 10), (None, 20), (7, 0), (8, 5)}
+    assert [r.payload_bytes for r in read.filter("page_id = 3").collect()] == [300_010]
+    assert read.filter("page_id = 7").count() == 1 and read.filter("page_id in (7, 8)").count() == 2
+
+
+def test_warc_streams_hold_little(tmp_path):
+    """Of a large member only what is wanted is kept."""
+    import io
+
+    block = b"p" * 3_000_000
+    record = lambda k: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: %d\r\nContent-Length: %d\r\n\r\n" % (k, len(block)) + block + b"\r\n\r\n"
+    data = gzip.compress(b"".join(map(record, range(20))), 1)
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(data)
+
+    reader = warc.WarcReader({"path": "x"})
+    from pyspark.sql.datasource import EqualTo
+
+    assert not list(reader.pushFilters([EqualTo(("page_id",), 17)]))
+    stream = warc._Inflated(warc._Stream(File(data), 0, None))
+    most = 0
+    real = stream.fill
+
+    def fill():
+        nonlocal most
+        most = max(most, len(stream.held))
+        return real()
+
+    stream.fill = fill
+    assert [r[4] for r in reader.listed(stream)] == [17] and most < 4_000_000
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "w"))
@@ -102,6 +149,20 @@ def test_tokens_match_the_tokenizer(spark):
         start += len(ids)
 
 
+def test_tokens_that_carry_blanks(spark):
+    """A byte-level vocabulary is encoded by whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert not tokens.Encoder(path).by_word and tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).direct
+    texts = [t for t in ODD if t is None or len(t) < 10_000]
+    got = {r.doc_id: r for r in tokens.tokenized(docs_of(spark, texts), path, end_id=50256).collect()}
+    for k, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 50256], "<u4")
+        assert (got[k].n_tokens, got[k].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_tokens_empty_repeated_and_null_ids(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = docs_of(spark, ["a b", "c"])
@@ -124,6 +185,49 @@ def test_toxicity(spark):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
 
 
+def plain_ftrl(examples, labels, epochs):
+    """FTRL-proximal, coordinate by coordinate."""
+    z, n = {}, {}
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for x, y in zip(examples, labels, strict=True):
+            w = {i: weight(i) for i in [*x.tolist(), bias]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i, v in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * v
+                n[i] = old + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_and_scores_match_plain_code(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(30)] + ["vile", "slur"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(300)] + [None, ""]
+    y = [int("vile" in (t or "")) for t in texts]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, 0, v) for k, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs.unionAll(docs.limit(50)), labels).collect()}
+
+    import pyarrow as pa
+
+    def features(t):
+        return np.unique(np.concatenate([f for _, _, _, f in toxicity.features(pa.array([t], pa.string()))] or [np.zeros(0, np.int64)]))
+
+    order = {r.doc_id: r.o for r in labels.selectExpr("doc_id", "xxhash64(doc_id) o").collect()}
+    learned = sorted((k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 4 != 2), key=order.get)
+    model = plain_ftrl([features(texts[k]) for k in learned], [y[k] for k in learned], toxicity.EPOCHS)
+    want = {k: 1 / (1 + np.exp(-(model.get(1 << toxicity.BITS, 0.0) + sum(model.get(i, 0.0) for i in features(t).tolist())))) for k, t in enumerate(texts)}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert len(model) >= 3  # the bias, the word and a pair
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, [None, "", "x" * 400_000, "bad word " * 50_000])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -140,6 +244,40 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_language(model, text):
+    """Family by largest linear value, then the votes of the pairs, from trigrams counted one by one."""
+    data = bytes(b if (97 <= b <= 122 or b >= 128) else 32 for b in f" {text.lower()} ".encode())
+    many: dict = {}
+    for k in range(1, len(data) - 1):
+        a, b, c = data[k - 1], data[k], data[k + 1]
+        if b != 32 or (a != 32 and c != 32):
+            g = ((a | b << 8 | c << 16) * 0x9E3779B1 % 2**32) >> (32 - langid.BITS)
+            many[g] = many.get(g, 0) + 1
+    s = sum(n * model["w"][g].astype(float) for g, n in many.items()) / max(1, sum(many.values())) * langid._SCALE
+    nf = len(model["families"])
+    best = int(np.argmax(s[:nf]))
+    votes = {k: 0.0 for k, f in enumerate(model["family_of"]) if f == best}
+    for k, (p, q) in enumerate(model["pairs"]):
+        if p in votes:
+            m = 1 / (1 + np.exp(-2 * s[nf + k]))
+            votes[p] += (m > 0.5) + m / (len(model["names"]) + 1)
+            votes[q] += (m <= 0.5) + (1 - m) / (len(model["names"]) + 1)
+    return model["names"][max(votes, key=lambda k: (votes[k], -k))]
+
+
+def test_language_matches_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionAll(docs.filter("doc_id < 40"))  # repeated rows are learned from once
+    model = langid.train(docs, common.bucket_of(F.col("doc_id"), 3) != 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    for k in list(texts)[:150]:
+        if got[k] != "und":
+            assert got[k] == plain_language(model, texts[k])
+    once = langid.train(docs.dropDuplicates(), common.bucket_of(F.col("doc_id"), 3) != 1)
+    assert once["names"] == model["names"] and len(model["pairs"]) > 0
+
+
 def test_language_edges(spark):
     train = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", F.lit("clash")).withColumn("score", F.lit(1))
     odd = docs_of(spark, [None, "", "123 !!", "你好", "the and of " * 60_000]).withColumn("doc_id", F.col("doc_id") + 10_000_000).withColumn("held_out", F.lit("c")).withColumn("score", F.lit(1)).withColumn("lang", F.lit(None).cast("string"))
@@ -207,10 +345,50 @@ def test_ngram_join_empty_and_repeated(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2] and kept.columns == docs.columns
 
 
+def test_ngram_join_of_a_large_group(spark):
+    """Near copies of one text that link with it, and near misses of another that link with nothing; blocks smaller than either."""
+    rng = np.random.default_rng(5)
+    base, other = [f"b{k}" for k in range(60)], [f"o{k}" for k in range(60)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        near, miss = base.copy(), other.copy()
+        near[int(rng.integers(60))] = f"n{k}"
+        for at in rng.permutation(15)[:2]:
+            miss[int(at) * 4] = f"m{k}.{at}"
+        texts += [" ".join(near), " ".join(miss)]
+    want = brute_components(texts, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(docs_of(spark, texts), block=16).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(c == 0 for _, c in want) > 100
+
+
+def test_ngram_join_long_words_and_null_ids(spark):
+    """Words that a polynomial modulo 2**64 takes for equal (Thue-Morse and its complement) don't link; null ids inside a group do."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(5, f"x {one} y z"), (6, f"x {two} y z"), (None, "p q r s t"), (9, "p q r s t"), (8, "P q r s t"), (8, "p q r s t"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect()), key=str)
+    assert got == sorted([(5, 1, 5), (6, 1, 6), (None, 2, 8), (9, 2, 8), (8, 2, 8), (8, 2, 8), (None, 0, None)], key=str)
+
+
+def test_fragments_cut_the_global_order():
+    levels = np.random.default_rng(0).integers(0, 60, 1 << 18).astype(np.uint8)
+    borders = ngram_join.fragment_borders(levels, 4)
+    s = np.unique(common.mix(np.arange(200_000, dtype=np.uint64)))
+    at = ngram_join.place(s, levels, 18)
+    order = np.argsort(levels[(s >> np.uint64(46)).astype(np.int64)], kind="stable")
+    assert (np.diff(at[order].astype(object)) >= 0).all() and (np.diff(borders.astype(object)) > 0).all()
+    weight = np.expm1(levels[(s >> np.uint64(46)).astype(np.int64)] / 10)
+    shares = [weight[(at >= a) & (at < z)].sum() for a, z in zip([0, *borders], [*borders, 1 << 63], strict=True)]
+    assert max(shares) < 1.2 * min(shares)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26)]
-    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {k: 20 for k in range(20, 27)}
+    for per_task in (1_000_000, 2):  # in one task, and by stars
+        got = {r.cls: r.comp for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), per_task).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {k: 20 for k in range(20, 27)}
 
 
 def test_word_hashes_do_not_depend_on_batches():

@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sqlscope.llm import chat, decontaminate, mixing, sharding
+from sqlscope.llm import chat, common, decontaminate, mixing, sharding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,8 +49,8 @@ def brute_hits(text, items, width=10):
 def test_decontaminate_matches_brute_force(spark):
     docs = documents(spark, TEXTS).withColumn("words", F.lit(1)).withColumn("hits", F.lit("x"))
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("words", F.lit("clash"))
-    for limit in (200_000, 0):  # with and without the broadcast
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_hits(docs, bench, broadcast_windows=limit).collect()}
+    for limit in (1 << 20, 0):  # with and without the broadcast
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_hits(docs, bench, broadcast_bytes=limit).collect()}
         assert got == {k: brute_hits(t, ITEMS) for k, t in enumerate(TEXTS)}
 
 
@@ -113,6 +114,38 @@ def test_mixing(spark, seed):
     assert counts == {r.doc_id: r.copies for r in rows if r.copies}
 
 
+@pytest.mark.parametrize("ids", ["null", "shared", "own", "repeated"])
+def test_mixing_takes_ties_row_by_row(spark, ids):
+    """1,000 rows of ten words that tie, or don't: the same words are taken."""
+    own = {"null": lambda k: None, "shared": lambda k: 7, "own": lambda k: k, "repeated": lambda k: k % 20}[ids]
+    rows = [(own(k), "w " * 10, "a") for k in range(1000)] + [(10_000 + k, "w " * 10, "b") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sized = common.materialize(mixing.sized(docs), "sized")
+    got = mixing.mix(sized, (1, 3), 3).collect()
+    assert len(got) == 2000
+    for source, target in (("a", 5000), ("b", 15_000)):
+        mine = [r for r in got if r.source == source]
+        assert {r.target for r in mine} == {target} and sum(r.taken for r in mine) == target
+    out = mixing.mix_documents(docs, (1, 3), 3)
+    assert {r.source: r["count"] for r in out.groupBy("source").count().collect()} == {"a": 500, "b": 1500}
+
+
+def test_mixing_includes_in_proportion(spark):
+    """Documents come in as often as their weights say, whole copies included; the largest are clipped at three."""
+    sizes = [1, 4, 16, 400, 10_000]
+    rows = [(k, "w " * sizes[k % 5 if k % 500 == 4 else k % 4], "a") for k in range(8000)] + [(9000 + k, "w " * 100, "b") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(mixing.sized(docs), (1, 1), 3).collect()
+    by: dict = {}
+    for r in got:
+        if r.source == "a":
+            by.setdefault(r.size, []).append((r.expected, r.copies))
+    rates = {n: (np.mean([e for e, _ in v]), np.mean([c for _, c in v])) for n, v in by.items()}
+    assert all(abs(e - c) < 0.06 for e, c in rates.values()), rates
+    assert rates[4][0] == pytest.approx(2 * rates[1][0]) and rates[400][0] == pytest.approx(20 * rates[1][0])
+    assert max(c for v in by.values() for _, c in v) <= 3
+
+
 def test_mixing_empty(spark):
     docs = documents(spark, [None, "a"])
     assert mixing.mix(mixing.sized(docs.filter("false"))).count() == 0
@@ -140,8 +173,8 @@ def test_sharding(spark, monkeypatch):
     by: dict = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
-        t = texts[r.doc_id] or ""
-        assert r.size == len(t.encode()) + 8
+        t = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "rows", None)
     assert set(by) == set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     again = sharding.assign(docs.repartition(9), 24).collect()
@@ -151,6 +184,21 @@ def test_sharding(spark, monkeypatch):
     assert sharding.assign(docs.filter("false"), 24).count() == 0
 
 
+def test_sharding_of_null_ids_long_texts_and_many_repeats(spark):
+    rows = [(None, "n")] * 30 + [(1, "r")] * 5000 + [(None, None)] * 3 + [(2, "x" * 3_000_000), (3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("nth", F.lit("clash"))
+    whole = sharding.shard_documents(docs, 24)
+    assert set(whole.columns) == {"doc_id", "text", "part", "nth", "shard", "slot"}
+    got = whole.select("doc_id", F.xxhash64("text").alias("t"), "shard", "slot").collect()
+    assert len(got) == len(rows) == len({(r.shard, r.slot) for r in got})
+    counts = [sum(r.shard == k for r in got) for k in range(24)]
+    assert max(counts) - min(counts) <= 1
+    many = {}
+    for r in got:
+        many[r.doc_id, r.t] = many.get((r.doc_id, r.t), 0) + 1
+    assert sorted(many.values()) == [1, 1, 3, 30, 5000]
+
+
 def test_sharding_is_uniform(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     rows = sharding.assign(docs, 4).collect()
@@ -178,5 +226,25 @@ def test_preferences(spark):
     a, z = map(int, r.rejected_mask.split("-"))
     assert r.rejected[a:z] == "zé"
     assert rows[2].prompt == "" and rows[2].rejected == "" and rows[2].chosen.startswith("<|user|>")
-    assert rows[3].chosen.count("q") == 2 and None in rows
+    assert rows[3].chosen.count("q") == 2 and None not in rows  # rows without an id belong to no conversation
     assert chat.preferences(chat.paired(df.filter("false"))).count() == 0
+
+
+def test_preferences_of_large_and_null_ids(spark):
+    """Neighbouring ids beyond 2**53 make one pair; many rows without an id make none; negative ids pair as well."""
+    big = 2**53 + 2
+    turns = [(c, 0, "user", "q") for c in (big, big + 1, -2, -1)] + [(big, 1, "assistant", "x" * 500_000), (big + 1, 1, "assistant", "no")] + [(None, k, "user", "lost") for k in range(500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = {r.pair_id: r for r in chat.preferences(chat.paired(df)).collect()}
+    assert set(rows) == {big // 2, -1} and rows[big // 2].n_prefix == rows[-1].n_prefix == 1
+    assert len(rows[big // 2].chosen) > 500_000 and "no" in rows[big // 2].rejected
+
+
+def test_decontaminate_removes_from_repeated_rows_with_null_ids(spark):
+    rows = [(None, ITEM), (None, "clean"), (None, None), (1, ITEM), (1, ITEM), (1, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w_key", F.lit("clash")).withColumn("hit", F.lit("clash"))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.remove(docs, bench)
+    assert sorted((r.doc_id, r.text) for r in kept.fillna(-1, "doc_id").fillna("", "text").collect()) == [(-1, ""), (-1, "clean"), (1, "clean")]
+    for limit in (1 << 20, 0):
+        assert decontaminate.find_hits(docs, bench, broadcast_bytes=limit).filter("contaminated").count() == 3
