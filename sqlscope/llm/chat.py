@@ -9,8 +9,10 @@ A pair is one output row, so its turns meet in one task; pairs are independent o
 
 Defined results: turns are ordered by turn, then role, then text (nulls first);
 null roles and texts render as empty and equal each other; a side without
-turns gives an empty completion; repeated rows are repeated turns; columns other
-than the named ones are ignored.
+turns gives an empty completion; repeated rows are repeated turns, and turns that
+tie are equal; very long texts are rendered whole; an empty table gives no pairs;
+paired() leaves out rows without a conversation id, which belong to no
+conversation; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -72,6 +74,7 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
 
 def paired(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 as the chosen and rejected side of pair k; rows without an id are left to a null pair."""
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 1, "rejected").otherwise("chosen")
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    """Conversations 2k and 2k + 1 as the chosen and rejected side of pair k; rows without an id belong to none."""
+    conv = F.col("conv_id").cast("long")
+    side = F.when(F.pmod(conv, F.lit(2)) == 1, "rejected").otherwise("chosen")
+    return conversations.filter(conv.isNotNull()).select(F.shiftright(conv, 1).alias("pair_id"), side.alias("side"), "turn", "role", "text")

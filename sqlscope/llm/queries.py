@@ -95,9 +95,9 @@ FROM h JOIN m USING (x) JOIN d USING (x)
 """
 
 OP6 = """
-WITH t AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'r' ELSE 'c' END AS side,
+WITH t AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, CASE WHEN conv_id % 2 <> 0 THEN 'r' ELSE 'c' END AS side,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
-                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT * FROM t WHERE side = 'c'), r AS (SELECT * FROM t WHERE side = 'r'),
 same AS (SELECT c.pair_id, c.i, c.role = r.role AND c.text = r.text AS eq FROM c JOIN r ON c.pair_id = r.pair_id AND c.i = r.i),
 pre AS (SELECT p.pair_id, CAST(coalesce(min(CASE WHEN NOT eq THEN same.i END) - 1, count(same.i)) AS BIGINT) AS n_prefix
@@ -129,9 +129,19 @@ done AS (SELECT capped FROM fill ORDER BY step DESC LIMIT 1),
 goal AS (SELECT source, ss, CASE WHEN list_contains(capped, i) THEN CAST(3 * ss AS DOUBLE) ELSE
            CAST(weight * CAST((SELECT sum(ss) FROM w) - (SELECT coalesce(sum(3 * ss), 0) FROM w, done WHERE list_contains(capped, i)) AS BIGINT) AS DOUBLE)
            / CAST((SELECT sum(weight) FROM w, done WHERE NOT list_contains(capped, i)) AS DOUBLE) END AS target FROM w, done),
-g AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole, CASE WHEN ss > 0 THEN target / ss - floor(target / ss) ELSE 0 END AS p FROM goal),
-k AS (SELECT d.*, ss, target, whole, p, target - whole * ss AS left_words, (u / (1 - u)) / (p / nullif(1 - p, 0)) AS key FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+e AS (SELECT *, CAST(floor(sqrt(size)) AS BIGINT) AS m FROM d),
+a AS (SELECT source, m, CAST(sum(size) AS BIGINT) AS words FROM e WHERE size > 0 GROUP BY source, m),
+h AS (SELECT a.*, target, CAST(coalesce((SELECT sum(x.words) FROM a x WHERE x.source IS NOT DISTINCT FROM a.source AND x.m > a.m), 0) AS BIGINT) AS clipped,
+             CAST((SELECT sum(x.m * x.words) FROM a x WHERE x.source IS NOT DISTINCT FROM a.source AND x.m <= a.m) AS BIGINT) AS below
+      FROM a JOIN goal ON a.source IS NOT DISTINCT FROM goal.source),
+i AS (SELECT *, (target - 3 * clipped) / CAST(below AS DOUBLE) AS c FROM h),
+r AS (SELECT source, max_by(c, m) AS c FROM i WHERE c * m <= 3 GROUP BY source),
+t AS (SELECT e.*, ss, target, CASE WHEN size > 0 THEN coalesce(least(c * m, 3.0::DOUBLE), 3.0::DOUBLE) ELSE 0 END AS expected
+      FROM e JOIN goal ON e.source IS NOT DISTINCT FROM goal.source LEFT JOIN r ON e.source IS NOT DISTINCT FROM r.source),
+f AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM t),
+l AS (SELECT source, max(target) - sum(CAST(whole AS BIGINT) * size) AS left_words FROM f GROUP BY source),
+k AS (SELECT f.*, left_words, (u / (1 - u)) / (p / nullif(1 - p, 0)) AS key FROM f JOIN l ON f.source IS NOT DISTINCT FROM l.source),
+o AS (SELECT *, coalesce(sum(size) FILTER (WHERE p > 0) OVER (PARTITION BY source ORDER BY p = 0, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT doc_id, size, ss AS source_size, target, CAST((whole + CASE WHEN p > 0 AND before + size / 2.0 <= left_words THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o
 """
 
