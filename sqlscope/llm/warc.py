@@ -12,9 +12,13 @@ compressed) are read too, a file per partition.
 register() also switches on ``spark.sql.python.filterPushdown.enabled``, which Spark asks
 of a session that reads from Python data sources that take filters.
 
-Defined results: a null payload is empty; a null url becomes urn:page:<id>;
+Defined results: a null payload is empty; a very long payload is one record, held
+whole by the task that writes or returns it; a null url becomes urn:page:<id>;
 control characters and blanks in urls are percent-encoded; rows with repeated
-ids are records of their own; an empty table gives an empty archive.
+ids are records of their own; an id in a header that is no number is null;
+predicates on ids compare numbers; what follows the last record and is none is
+passed over; an empty table gives an empty archive; columns other than page_id,
+url and html are ignored.
 """
 
 from __future__ import annotations
@@ -148,6 +152,55 @@ class _Stream:
         return self.buffer[self.at - self.base : self.at - self.base + n]
 
 
+    def skip(self, n: int | None) -> None:
+        self.at = self.end if n is None else self.at + n
+
+
+class _Inflated:
+    """What the gzip members from here on hold, inflated piece by piece; what is skipped is not kept."""
+
+    def __init__(self, s: _Stream):
+        self.s, self.z, self.held = s, zlib.decompressobj(31), b""
+
+    def fill(self) -> bool:
+        """Some bytes more, or False at the end."""
+        while True:
+            if self.z.eof:
+                if self.s.more(2) != b"\x1f\x8b":
+                    self.s.skip(None)
+                    return False
+                self.z = zlib.decompressobj(31)
+            piece = self.z.unconsumed_tail
+            if not piece:
+                piece = self.s.more(min(1 << 16, self.s.end - self.s.at))
+                self.s.at += len(piece)
+                if not piece:
+                    return False
+            got = self.z.decompress(piece, 1 << 18)
+            if self.z.eof:
+                self.s.at -= len(self.z.unused_data)
+            if got:
+                self.held += got
+                return True
+
+    def more(self, n: int) -> bytes:
+        while len(self.held) < n and self.fill():
+            pass
+        return self.held[:n]
+
+    def skip(self, n: int | None) -> None:
+        while n is None or n > len(self.held):
+            n = None if n is None else n - len(self.held)
+            self.held = b""
+            if not self.fill():
+                return
+        self.held = self.held[n:]
+
+
+#: Headers whose columns are numbers; bytes of a record's headers at most.
+NUMBERS, MOST_HEADERS = ("warc-page-id", "warc-refers-to-page-id"), 1 << 22
+
+
 class WarcReader(DataSourceReader):
     HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "record_date": "warc-date", "page_id": "warc-page-id", "refers_to": "warc-refers-to-page-id"}
 
@@ -160,9 +213,9 @@ class WarcReader(DataSourceReader):
         for f in filters:
             column = ".".join(f.attribute) if isinstance(f, EqualTo | In) else ""
             if column in self.HEADERS and isinstance(f, EqualTo):
-                self.tests.append((self.HEADERS[column], frozenset([str(f.value)])))
+                self.tests.append((self.HEADERS[column], frozenset([f.value])))
             elif column in self.HEADERS and isinstance(f, In):
-                self.tests.append((self.HEADERS[column], frozenset(str(x) for x in f.value)))
+                self.tests.append((self.HEADERS[column], frozenset(f.value)))
             else:
                 yield f
 
@@ -206,60 +259,57 @@ class WarcReader(DataSourceReader):
             start = s.more(24)
             if not start:
                 return
-            if start[:2] == b"\x1f\x8b":
-                yield from self.compressed(s, start)
-            elif start[:5] == b"WARC/":
-                yield from self.plain(s)
+            if start[:2] != b"\x1f\x8b":
+                yield from self.listed(s)
+            elif start[3] == 4 and start[12:14] == b"sl":
+                yield from self.stepped(s, start)
             else:
-                s.at += 1  # blank lines between records
-
-    def compressed(self, s: _Stream, start: bytes) -> Iterator[tuple]:
-        known = start[3] == 4 and start[12:14] == b"sl"
-        if known:
-            total, _ = struct.unpack("<II", start[16:24])
-            z = zlib.decompressobj(31)
-            first = z.decompress(s.more(min(total, 4096)), 8192)
-            headers, rest = parse_headers(first)
-            if headers is not None and (not self.passes(headers) or not self.wants(headers)):
-                s.at += total
-                if self.passes(headers):
-                    yield self.row(headers, None)
-                return
+                yield from self.listed(_Inflated(s))
+
+    def stepped(self, s: _Stream, start: bytes) -> Iterator[tuple]:
+        """The record of a member that tells its length: it is inflated as a whole only if its payload is wanted."""
+        total, _ = struct.unpack("<II", start[16:24])
+        headers, _ = parse_headers(zlib.decompressobj(31).decompress(s.more(min(total, 4096)), 8192))
+        if headers is not None and not (self.passes(headers) and self.wants(headers)):
+            if self.passes(headers):
+                yield self.row(headers, None)
+        else:
             self.inflated += 1
             record = zlib.decompress(s.more(total), 31)
-            s.at += total
-        else:
-            z, parts = zlib.decompressobj(31), []
-            while not z.eof:
-                piece = s.more(1 << 16)
-                if not piece:
-                    break
-                parts.append(z.decompress(piece))
-                s.at += len(piece)
-            s.at -= len(z.unused_data)
-            record = b"".join(parts)
-        headers, rest = parse_headers(record)
-        if headers is not None and self.passes(headers):
-            block = record[rest : rest + int(headers.get("content-length", "0"))]
-            yield self.row(headers, block if self.wants(headers) else None)
-
-    def plain(self, s: _Stream) -> Iterator[tuple]:
-        n = 4096
-        headers, rest = parse_headers(s.more(n))
-        while headers is None and s.at + n < s.end:
-            n *= 2
-            headers, rest = parse_headers(s.more(n))
-        if headers is None:
-            s.at = s.end
-            return
-        length = int(headers.get("content-length", "0"))
-        s.at += rest
-        if self.passes(headers):
-            yield self.row(headers, s.more(length) if self.wants(headers) else None)
-        s.at += length + 4
+            headers, rest = parse_headers(record)
+            if headers is not None and self.passes(headers):
+                yield self.row(headers, record[rest : rest + block_length(headers)] if self.wants(headers) else None)
+        s.at += total
+
+    def listed(self, s: "_Stream | _Inflated") -> Iterator[tuple]:
+        """All records of a stream, one after another; blocks that are not wanted are stepped over."""
+        while True:
+            n = 4096
+            head = s.more(n)
+            while head[:1] in (b"\r", b"\n"):  # blank lines between records
+                s.skip(len(head) - len(head.lstrip(b"\r\n")))
+                head = s.more(n)
+            headers, rest = parse_headers(head)
+            while headers is None and len(head) == n and n < MOST_HEADERS:
+                n *= 2
+                head = s.more(n)
+                headers, rest = parse_headers(head)
+            if headers is None or not head.startswith(b"WARC/"):
+                s.skip(None)  # nothing of an archive follows
+                return
+            s.skip(rest)
+            length = block_length(headers)
+            if not self.passes(headers):
+                s.skip(length)
+            elif self.wants(headers):
+                yield self.row(headers, s.more(length))
+                s.skip(length)
+            else:
+                yield self.row(headers, None)
+                s.skip(length)
 
     def passes(self, headers: dict) -> bool:
-        return all(headers.get(name) in allowed for name, allowed in self.tests)
+        return all((number(headers.get(name)) if name in NUMBERS else headers.get(name)) in allowed for name, allowed in self.tests)
 
     def wants(self, headers: dict) -> bool:
         return self.payload != "none" and headers.get("warc-type") == "response"
@@ -271,7 +321,6 @@ class WarcReader(DataSourceReader):
         if block is not None:
             payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
             length, digest = len(payload), digest32(payload)
-        number = lambda x: None if x is None else int(x)
         return (
             headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), headers.get("warc-date"),
             number(headers.get("warc-page-id")), number(headers.get("warc-refers-to-page-id")), number(length), digest,
@@ -279,6 +328,17 @@ class WarcReader(DataSourceReader):
         )
 
 
+def number(value: str | None) -> int | None:
+    try:
+        return None if value is None else int(value)
+    except ValueError:
+        return None
+
+
+def block_length(headers: dict) -> int:
+    return max(0, number(headers.get("content-length")) or 0)
+
+
 def parse_headers(data: bytes) -> tuple[dict | None, int]:
     """Header names in lower case, and where the block starts; None if the headers go on beyond ``data``."""
     end = data.find(b"\r\n\r\n")
