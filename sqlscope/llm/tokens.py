@@ -13,9 +13,13 @@ Writing takes rows (doc_id, text) sorted inside partitions whose order is the
 order of the ids; it encodes, appends the end id and packs as it goes. Reading
 returns (doc_id, start, n_tokens, ids_crc32[, ids]).
 
+Vocabularies that drop white space are encoded word by word (a long text in pieces
+cut between words); others, whose tokens carry blanks, by whole texts.
+
 Defined results: a null text is empty and has the end id alone; null ids come
-first; rows with equal ids are ordered by a hash of their texts; an empty table
-gives no rows; columns other than doc_id and text are ignored.
+first; rows with equal ids are ordered by a hash of their texts, and equal rows
+follow each other; an empty table gives no rows; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -127,10 +131,10 @@ PIECE, LONG = 1 << 20, 255
 
 
 class Encoder:
-    """Token ids of texts. What lies between blanks and line ends is encoded once and remembered by a
-    64-bit hash: the vocabulary drops white space and no token spans it. Words of Latin letters go to the
-    model directly in lower case, marks behind them apart, as the vocabulary splits them so; all else
-    takes the whole way."""
+    """Token ids of texts. Where the vocabulary drops white space and so no token spans it (``by_word``), what
+    lies between blanks and line ends is encoded once and remembered by a 64-bit hash. Words of Latin letters
+    then go to the model directly in lower case, marks behind them apart, if the vocabulary splits them so
+    (``direct``); all else takes the whole way. Both are held against whole texts when a vocabulary is loaded."""
 
     _LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
     #: Letters, then marks that the vocabulary takes as one run (an apostrophe may start a piece of its own).
@@ -146,11 +150,20 @@ class Encoder:
         suffix = state["model"].get("end_of_word_suffix")
         #: Whether words may go to the model: BPE with word ends over lower-cased text, split at letters.
         self.direct = state["model"]["type"] == "BPE" and bool(suffix) and "Lowercase" in kinds and not state["model"].get("continuing_subword_prefix")
+        first = state.get("pre_tokenizer") or {}
+        first = (first.get("pretokenizers") or [first])[0]
+        #: Whether white space only parts words: so by its kind, and by what it does to these texts.
+        self.by_word = first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (first.get("type") == "Split" and first.get("behavior") == "Removed")
         self.model = self.tokenizer.model
         self.base: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.forget()
+        whole, many = self._whole, [x.split() for x in self._PROBES]
+        self.by_word = self.by_word and all(whole(x) == b"".join(map(whole, w)) for x, w in zip(self._PROBES, many, strict=True))
+        self.direct = self.direct and self.by_word and all(self.encode(x) == whole(x) for w in many for x in w)
+
+    _PROBES = ("a b", " a  b ", "\na\n\nb c\n", "The end. \n It's -- 'x' don't!", "word! two-part a.b, (in) x' Na\u00efve \u00c9T\u00c9?", " 12 a1 1a \u4f60\u597d b\u4f60 ", "", " ")
 
     def forget(self) -> None:
         """Start the numbering again."""
@@ -228,6 +241,9 @@ class Encoder:
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has; a null text is empty."""
+        if not self.by_word:
+            found = [np.array([*e.ids, end_id], np.uint32) for t in texts.to_pylist() for e in self.tokenizer.encode_batch([t or ""], add_special_tokens=False)]
+            return (np.concatenate(found), np.array([len(x) for x in found], np.int64)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         out, counts, mark = [], [], np.array([end_id], np.uint32)
         for i, j, data, offsets in text_pieces(pc.fill_null(texts, ""), PIECE):
             if len(data) <= PIECE:
