@@ -3,13 +3,17 @@
 A text's features are the relative frequencies of hashed byte trigrams of its
 lower-cased letters. Linear models decide the language family first (softmax);
 inside the family one-versus-one linear support vector machines vote. They
-learn in one task from a bounded sample (``max_rows``), and every whole text is
-scored where it lies in Arrow batches, without a shuffle.
+learn in one task from a bounded sample: rows are taken by a hash of id and text,
+about ``max_rows`` in all and as many of each language, and in the order of that
+hash until ``2 * max_rows`` rows or ``max_features`` trigrams are held, as sparse
+vectors. Every whole text is scored where it lies in Arrow batches, without a shuffle.
 
 A text that is null or has no letter is ``und`` with score 0. Defined results:
 without rows to learn from every text is ``und``; a language outside the table of
-families is a family of its own; columns other than doc_id, text and lang are
-ignored.
+families is a family of its own; equal rows (id, text and lang) are learned from
+once and scored each; votes that tie go to the larger margins, then to the first
+language by name; very long texts are scored whole, in pieces of their trigrams;
+columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import bucket_of, slices, text_pieces
+from sqlscope.llm.common import bucket_of, materialize, slices, small, text_pieces, tidy
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -35,8 +39,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 BITS = 13
-#: Documents that are learned from at most (in expectation as many of each language).
-MAX_ROWS = 4_000
+#: Documents that are learned from (in expectation, as many of each language), and their distinct trigrams at most.
+MAX_ROWS, MAX_FEATURES = 4_000, 6_000_000
 _SCALE = 32.0
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -60,39 +64,58 @@ def trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield i, j, (gram >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(spots + 1, at)
 
 
-def frequencies(texts: list[np.ndarray]) -> np.ndarray:
-    """A row of relative trigram frequencies per text."""
-    x = np.zeros((len(texts), 1 << BITS), np.float32)
-    for row, found in zip(x, texts, strict=True):
-        row += np.bincount(found, minlength=1 << BITS) * np.float32(_SCALE / max(1, len(found)))
-    return x
+class Rows:
+    """Sparse rows of relative trigram frequencies; a few at a time are made dense."""
 
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        self.many = np.array([len(at) for at, _ in texts], np.int64)
+        self.start = np.cumsum(self.many) - self.many
+        self.at = np.concatenate([at for at, _ in texts]) if texts else np.zeros(0, np.uint16)
+        self.value = np.concatenate([v for _, v in texts]) if texts else np.zeros(0, np.float32)
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Generator, epochs: int = 12) -> np.ndarray:
-    w = np.zeros((x.shape[1], classes), np.float32)
+    def __len__(self) -> int:
+        return len(self.many)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), 1 << BITS), np.float32)
+        for k, r in enumerate(rows):
+            own = slice(self.start[r], self.start[r] + self.many[r])
+            x[k, self.at[own]] = self.value[own]
+        return x
+
+
+def frequencies(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text and their relative frequencies."""
+    at, many = np.unique(found.astype(np.uint16), return_counts=True)
+    return at, (many * (_SCALE / max(1, len(found)))).astype(np.float32)
+
+
+def fit_softmax(x: Rows, y: np.ndarray, classes: int, rng: np.random.Generator, epochs: int = 12) -> np.ndarray:
+    w = np.zeros((1 << BITS, classes), np.float32)
     for e in range(epochs):
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
-            s = x[rows] @ w
+            some = x.dense(rows)
+            s = some @ w
             s = np.exp(s - s.max(axis=1, keepdims=True))
             s /= s.sum(axis=1, keepdims=True)
             s[np.arange(len(rows)), y[rows]] -= 1
-            w -= 0.5 / (1 + e) * (x[rows].T @ s / len(rows) + 1e-5 * w)
+            w -= 0.5 / (1 + e) * (some.T @ s / len(rows) + 1e-5 * w)
     return w
 
 
-def fit_svm(x: np.ndarray, chosen: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 15) -> np.ndarray:
+def fit_svm(x: Rows, chosen: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 15) -> np.ndarray:
     """Weights by stochastic subgradients of the hinge loss over the chosen rows; y: -1 or 1 of each."""
-    w, mean, seen = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0
+    w, mean, seen = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0
     for e in range(epochs):
         for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 32)):
-            some, sign = x[chosen[part]], y[part]
+            some, sign = x.dense(chosen[part]), y[part]
             wrong = sign * (some @ w) < 1
-            w = w * np.float32(1 - 1e-4) + 0.5 / (1 + e) * (sign[wrong, None] * some[wrong]).sum(axis=0) / len(part)
+            w = w * np.float32(1 - 1e-4) + np.float32(0.5 / (1 + e)) * (sign[wrong, None] * some[wrong]).sum(axis=0) / np.float32(len(part))
             mean, seen = mean + w, seen + 1
-    return mean / max(1, seen)
+    return mean / np.float32(max(1, seen))
 
 
-def fit(x: np.ndarray, langs: list[str], seed: int = 7) -> dict:
+def fit(x: Rows, langs: list[str], seed: int = 7) -> dict:
     """Columns of ``w``: one per family, then one per pair of languages of a family."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
@@ -132,41 +155,48 @@ def decide(model: dict, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lang, family[rows, best] * share
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pickle
-
-    rows: list[tuple] = []
-    for b in slices(batches):
-        for i, j, found, at in trigrams(b["text"]):
-            texts = np.split(found.astype(np.uint16), at[1:-1])
-            rows += zip(b["order"].slice(i, j - i).to_pylist(), b["lang"].slice(i, j - i).to_pylist(), texts, strict=True)
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    model = fit(frequencies([r[2] for r in rows]), [r[1] for r in rows]) if rows else None
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
+def _learn(max_rows: int, max_features: int):
+    """From rows (order, lang, text) in the order of their hash."""
 
-def train(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> dict | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        langs: list[str] = []
+        texts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, full = 0, False
+        for b in slices(batches, 256):
+            if full:
+                continue
+            for i, j, found, at in trigrams(b["text"]):
+                for lang, own in zip(b["lang"].slice(i, j - i).to_pylist(), np.split(found, at[1:-1]), strict=True):
+                    text = frequencies(own)
+                    full = full or len(texts) >= 2 * max_rows or held + len(text[0]) > max_features
+                    if not full:
+                        held += len(text[0])
+                        langs.append(lang)
+                        texts.append(text)
+        model = fit(Rows(texts), langs) if texts else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return tidy(run)
+
+
+def train(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> dict | None:
     """The model, learned from rows with text and lang for which ``learnable`` holds."""
     import pickle
 
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & learnable)
-    per_lang = known.groupBy("lang").count()  # a row per language
-    many = F.count(F.lit(1)).over(_whole())
-    rates = F.broadcast(per_lang.select(F.col("lang").alias("l"), (F.lit(float(max_rows)) / many / F.col("count")).alias("rate")))
-    u = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.withColumn("u", u).join(rates, F.col("lang") == F.col("l")).filter("u < rate")
-    # the rates keep max_rows in expectation; the limit bounds what one task reads
-    chosen = chosen.select(F.xxhash64(F.lit(1), "doc_id").alias("order"), "lang", "text").limit(2 * max_rows)
-    learned = chosen.repartition(1).mapInArrow(_learn, "model binary").first()
+    langs = materialize(known.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("many")), "langs")  # a row per language
+    rate = F.lit(float(max_rows)) / F.lit(max(1, langs.facts["rows"])) / F.col("many")
+    order = F.xxhash64(F.lit("lang"), "doc_id", "text")
+    drawn = known.withColumn("order", order).join(small(langs), F.col("lang") == F.col("l"))
+    drawn = drawn.filter(F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
+    once = drawn.groupBy("order", "lang").agg(F.first("text").alias("text"))
+    one = once.repartition(1).sortWithinPartitions("order", "lang")
+    learned = one.mapInArrow(_learn(max_rows, max_features), "model binary").first()
     return pickle.loads(learned.model) if learned else None  # no row at all if Spark sees that nothing can be chosen
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -184,7 +214,7 @@ def _predict(model):
             kept = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], pa.array(names, pa.string()), pa.array(np.where(letters, sure, 0.0))], names=[*kept, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -204,7 +234,7 @@ def _keep(model, least: float):
             good = pc.and_(pc.not_equal(found["lang_pred"], "und"), pc.greater_equal(found["score"], least))
             yield b.filter(good)
 
-    return run
+    return tidy(run)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, folds: int = 3, held: int = 1, max_rows: int = MAX_ROWS) -> DataFrame:

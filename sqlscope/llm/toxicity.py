@@ -2,15 +2,18 @@
 
 A text's features are the distinct hashes of its words, of neighbouring pairs and
 of pairs with one word between (lower-cased words of letters and digits). The
-model learns in one task from a bounded sample of labelled documents
-(``max_rows``, those with the smallest hash of their id); per-coordinate rates
-and the L1 term leave few weights, which are broadcast. Every whole text is
-scored where it lies, in Arrow batches, without a shuffle.
-
-Defined results: a null or empty text has no features and scores the bias;
-without labelled rows every score is 0.5 by the empty model; several labels of
-one document count as the largest, null labels not at all; columns other than
-doc_id, text and toxic are ignored.
+model learns in one task from a bounded sample of labelled documents, in the
+order of a hash of their ids until ``max_rows`` documents or ``max_features``
+features are held; per-coordinate rates and the L1 term leave few weights, which
+are broadcast. Every whole text is scored where it lies, in Arrow batches,
+without a shuffle.
+
+Defined results: a null or empty text has no features and scores the bias; a very
+long text is scored whole, in pieces cut between words; without labelled rows every
+score is 0.5 by the empty model; several labels of one document count as the
+largest, null labels not at all; of rows that share an id one text (that of the
+smallest hash) is learned from and all are scored; columns other than doc_id, text
+and toxic are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import _N, bucket_of, hashed_words, mix, slices
+from sqlscope.llm.common import _N, bucket_of, hashed_words, mix, slices, tidy
 
 BITS = 20
-#: Labelled documents that are learned from at most, and passes over them.
-MAX_ROWS, EPOCHS = 16_000, 4
+#: Labelled documents that are learned from at most, and passes over them; features of theirs that are held at most.
+MAX_ROWS, EPOCHS, MAX_FEATURES = 16_000, 4, 16_000_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -84,22 +87,36 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["order"], b["label"], pa.array([v if v is not None else [] for v in x], pa.list_(pa.int32()))], names=["order", "label", "x"])
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(o, y, x.values.to_numpy()) for b in batches for o, y, x in zip(b["order"].to_pylist(), b["label"].to_pylist(), b["x"], strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    index, value = ftrl([r[2] for r in rows], np.array([r[1] for r in rows], float)) if rows else (np.zeros(0, np.int32), np.zeros(0))
-    yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["at", "weight"])
+def _learn(max_features: int):
+    """From rows (order, label, x) in the order of their hash."""
 
-
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[float] = []
+        texts: list[np.ndarray] = []
+        held, full = 0, False
+        for b in slices(batches, 256):
+            for y, x in zip(b["label"].to_pylist(), b["x"], strict=True):
+                full = full or held + len(x.values) > max_features
+                if not full:
+                    held += len(x.values)
+                    labels.append(float(y))
+                    texts.append(x.values.to_numpy().copy())  # the batch goes
+        index, value = ftrl(texts, np.array(labels)) if texts else (np.zeros(0, np.int32), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["at", "weight"])
+
+    return tidy(run)
+
+
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Weights learned from labelled documents for which ``learnable`` (over doc_id) holds."""
     known = labels.filter("toxic is not null").filter(learnable).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_rows)
     sample = F.broadcast(sample.select(F.col("doc_id").alias("id"), "label", "order"))  # max_rows rows at most
-    chosen = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("id")).select("order", "label", "text")
-    examples = chosen.mapInArrow(_examples, "order long, label int, x array<int>")
-    # one task learns: max_rows documents, 2**BITS features each at most
-    model = examples.repartition(1).mapInArrow(_learn, "at binary, weight binary").first()
+    chosen = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("id"))
+    once = chosen.groupBy("order", "id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    examples = once.mapInArrow(tidy(_examples), "order long, label int, x array<int>")
+    # one task learns: max_rows documents and max_features features at most
+    model = examples.repartition(1).sortWithinPartitions("order", "label").mapInArrow(_learn(max_features), "at binary, weight binary").first()
     if model is None:  # Spark saw that nothing can be chosen
         return np.zeros(0, np.int32), np.zeros(0)
     return np.frombuffer(model.at, np.int32), np.frombuffer(model.weight, np.float64)
@@ -119,7 +136,7 @@ def _score(model):
                 total[i:j] += np.bincount(both >> 32, weights=w[both & 0xFFFFFFFF], minlength=j - i)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "held_out", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
