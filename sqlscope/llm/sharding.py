@@ -8,23 +8,24 @@ permutes its rows (order of a seeded hash), deals them out by its matrix row,
 and each shard permutes what it received, range by range of a second hash, so
 no task holds a shard.
 
-Defined results: a null text has no bytes; repeated rows each get a slot of
-their own (which of them gets which is undetermined, as they are equal); a null
-id is an id; an empty table gives no rows; columns other than doc_id and text
-are ignored.
+Defined results: a null text has no bytes; a very long text moves as one row, once;
+repeated rows each get a slot of their own (which of them gets which is
+undetermined, as they are equal); a null id is an id; an empty table gives no rows;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlscope.llm.common import materialize
+from sqlscope.llm.common import materialize, numbered, small
 
-#: Rows that a source partition, or a range of a shard, holds on average; source partitions at most.
-#: Beyond that many partitions they hold more rows, so the matrix and its broadcast stay bounded.
-PART_ROWS, MAX_PARTS = 8192, 65_536
+#: Rows that a source partition, or a range of a shard, holds on average; numbers of the matrix at most.
+#: Beyond that many the partitions hold more rows, so the driver and the matrix stay bounded.
+PART_ROWS, MAX_CELLS = 8192, 1_500_000
 
 
 def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -79,17 +80,16 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("r1", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("r2", F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"))
     rows = materialize(rows, "shard-rows")
-    total = rows.count()
-    parts = max(1, min(-(-total // PART_ROWS), MAX_PARTS))
+    total = rows.facts["rows"]
+    parts = max(1, min(-(-total // PART_ROWS), MAX_CELLS // shards))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "r1"), F.lit(parts)).cast("int"))
-    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # MAX_PARTS numbers at most
+    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # MAX_CELLS / shards numbers at most
     matrix = communication_matrix(np.array([counts.get(p, 0) for p in range(parts)], dtype=np.int64), shards, seed)
     start = np.cumsum(matrix, axis=1) - matrix
-    deal = spark.createDataFrame(
-        [(p, [int(x) for x in start[p]]) for p in range(parts)] or [(0, [0] * shards)], "part int, starts array<bigint>"
-    )
+    starts = pa.ListArray.from_arrays(pa.array(np.arange(parts + 1) * shards, pa.int32()), pa.array(start.ravel()))
+    deal = materialize(spark.createDataFrame(pa.table({"part": pa.array(np.arange(parts), pa.int32()), "starts": starts})), "shard-matrix")
     local = Window.partitionBy("part").orderBy("r1", "doc_id", "text_crc32")
-    placed = rows.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(deal), "part")  # MAX_PARTS rows at most
+    placed = rows.withColumn("rank", F.row_number().over(local) - 1).join(small(deal, 8 * MAX_CELLS + 64 * parts), "part")  # MAX_CELLS numbers at most
     # the last shard that starts at or before this rank
     shard = F.size(F.filter("starts", lambda s: s <= F.col("rank"))) - 1
     placed = placed.withColumn("shard", shard.cast("int"))
@@ -106,14 +106,21 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
-    """``docs`` with shard and slot (in place of columns of these names). Texts are shuffled once; rows of one id and text take their slots in turn."""
+    """``docs`` with shard and slot (in place of columns of these names). Texts are shuffled once; rows of one id and text are numbered and take their slots in turn."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    places = assign(docs, shards, seed)
-    slots = places.groupBy(F.xxhash64("doc_id", "text_hash").alias("key")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text_hash", "shard", "slot"))).alias("slots"))
+    places = materialize(assign(docs, shards, seed).select("doc_id", "text_hash", "shard", "slot"), "shard-places")
+    repeated = places.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("many"))
+    repeated = materialize(repeated.filter("many > 1"), "shard-repeated")
     body = F.struct(*[F.col(f"`{c}`") for c in names]).alias("body")
-    rows = docs.select(body).select("body", F.xxhash64("body.doc_id", F.xxhash64("body.text")).alias("own"))
-    joined = rows.join(slots, F.col("own") == F.col("key"))
-    # the join has brought equal rows together, so this window moves nothing
-    turn = Window.partitionBy("own").orderBy(F.col("body.doc_id"), F.xxhash64("body.text"))
-    joined = joined.withColumn("place", F.get("slots", F.row_number().over(turn) - 1))
-    return joined.select("body.*", F.col("place.shard").alias("shard"), F.col("place.slot").alias("slot"))
+    rows = docs.select(body).select("body", "body.doc_id", F.xxhash64("body.text").alias("text_hash"))
+
+    def in_turn(some: DataFrame) -> DataFrame:
+        if not repeated.facts["rows"]:
+            return some.withColumn("nth", F.lit(1).cast("long"))
+        told = some.join(small(repeated), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_outer").drop("id", "hash")
+        single, more = told.filter("many is null").drop("many"), told.filter("many is not null")
+        return single.withColumn("nth", F.lit(1).cast("long")).unionByName(numbered(more, ["doc_id", "text_hash"], "many").drop("many").withColumn("nth", F.col("nth").cast("long")))
+
+    slots = in_turn(places).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("nth").alias("turn"), "shard", "slot")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("nth") == F.col("turn"))
+    return in_turn(rows).join(slots, same).select("body.*", "shard", "slot")
