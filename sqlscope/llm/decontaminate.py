@@ -3,14 +3,17 @@
 Every run of ``width`` item words (an item of fewer, but not none, as one run)
 is a window. A document is cut into blocks of half a window: wherever a window
 occurs, it holds a whole block. So a block's hash probes the hashes of all
-half-window runs inside windows, which are broadcast when their number is within
-``broadcast_windows`` (else shuffled), and tells where the window would start; a
-hit counts only after all its words are compared.
+half-window runs inside windows and tells where the window would start; there the
+hash of the whole window must agree, and last its words. The hash table holds
+four numbers a run, and the windows their words once; both are broadcast when
+their values have at most ``broadcast_bytes``. Beyond that only (document,
+position, hash) is shuffled, and words are compared for what is left.
 
 Defined results: a null or empty text has no words and is clean; a null item
-text has no windows; items with a null id mark hits but are not listed; repeated
-document rows give one row each; an empty benchmark leaves all clean; columns
-other than the named ones are ignored.
+text has no windows; items with a null id mark hits but are not listed; very long
+texts are read whole; repeated document rows give one row each, and repeated items
+count once; an empty benchmark leaves all clean; an empty table gives no rows;
+columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlscope.llm.common import materialize, small
+
+#: Bytes of the hash table, and of the windows, that are broadcast at most.
+BROADCAST = 16 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,22 +52,27 @@ def block_of(width: int) -> int:
     return (width + 1) // 2
 
 
+def _run(words: Column, at: Column, n: Column) -> Column:
+    return F.slice(words, F.greatest(F.coalesce(at, F.lit(1)), F.lit(1)).cast("int"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)))
+
+
 def block_hashes(words: Column, k: int) -> Column:
     """Hashes of the aligned blocks of ``k`` words; there is one at least."""
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / k).cast("int") - 1), lambda j: F.xxhash64(F.slice(words, j * k + 1, k)))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
     ``spans``: word ranges [from, to) that hits cover, merged, counted from 1.
     """
-    windows = benchmark_windows(benchmark, width).cache()
+    key = F.xxhash64(F.lit("window"), "w_words")
+    words = F.aggregate("w_words", F.lit(0), lambda acc, w: acc + F.octet_length(w) + 16)
+    windows = materialize(benchmark_windows(benchmark, width).withColumn("w_key", key), "windows", words=F.sum(words))
     lengths = sorted((r.w_len for r in windows.select("w_len").distinct().collect()), reverse=True)  # at most ``width`` numbers
     block = F.floor((F.col("w_len") + 1) / 2).cast("int")
-    runs = windows.withColumn("w_at", F.explode(F.sequence(F.lit(0), F.col("w_len") - block))).withColumn("w_hash", F.xxhash64(F.slice("w_words", F.col("w_at") + 1, block)))
-    if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        runs = F.broadcast(runs)
+    runs = windows.withColumn("w_at", F.explode(F.sequence(F.lit(0), F.col("w_len") - block))).select("w_key", "w_len", "w_at", F.xxhash64(F.slice("w_words", F.col("w_at") + 1, block)).alias("w_hash"))
+    runs = materialize(runs.distinct(), "runs")
 
     base = docs.select("doc_id", F.xxhash64("text").alias("fp"), F.length("text").alias("chars"), words_of(F.col("text")).alias("words"))
     base = base.withColumn("n_words", F.size("words"))
@@ -73,16 +85,35 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
         size = F.when(F.col("idx") >= upto, F.lit(n)).otherwise(size)
         first = F.when(F.col("idx") >= upto, (F.col("idx") - upto) * k + 1).otherwise(first)
         upto = upto + F.when(F.col("n_words") >= n, F.floor(F.col("n_words") / k)).otherwise(0)
-    flat = base.select("doc_id", "fp", "chars", "n_words", "words", F.posexplode(F.concat(*probes)).alias("idx", "hash"))
+    doc = ["doc_id", "fp", "chars", "n_words"]
+    flat = base.select(*doc, "words", F.posexplode(F.concat(*probes)).alias("idx", "hash"))
     placed = flat.withColumn("len", size).withColumn("first", first)
     at = F.col("first") - F.col("w_at")
-    same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")) & (at >= 1) & (F.slice("words", F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.col("w_len"), F.lit(0))) == F.col("w_words"))
-    found = placed.join(runs, same, "left_outer").filter((F.col("idx") == 0) | F.col("w_hash").isNotNull()).withColumn("at", at.cast("int"))
-    hit = F.col("idx") > 0
-    per_doc = found.groupBy("doc_id", "fp", "chars", "n_words").agg(
-        F.count_if(~hit).alias("copies"),
-        F.array_sort(F.collect_set(F.when(hit, F.struct("at", "len")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("w_items")))))).alias("items"),
+    found = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
+    whole = (at >= 1) & (F.xxhash64(F.lit("window"), _run(F.col("words"), at, F.col("w_len"))) == F.col("w_key"))
+    fits = runs.facts["bytes"] <= broadcast_bytes and windows.facts["bytes"] + windows.facts["words"] <= broadcast_bytes
+    if fits:
+        hits = placed.join(F.broadcast(runs), found & whole, "left_outer").withColumn("at", at.cast("int")).drop("hash", "w_len", "w_at", "w_hash", "first")
+        text = F.broadcast(windows.select(F.col("w_key").alias("v_key"), "w_words", "w_items"))
+        equal = (F.col("w_key") == F.col("v_key")) & (_run(F.col("words"), F.col("at"), F.col("len")) == F.col("w_words"))
+        every = hits.join(text, equal, "left_outer").filter((F.col("idx") == 0) | F.col("w_items").isNotNull())
+        rows = every.select(*doc, (F.col("idx") == 0).alias("own"), F.when(F.col("idx") > 0, F.struct("at", "len")).alias("hit"), "w_items")
+    else:
+        # documents stay out of the probing join, and only those with a candidate meet the windows' words
+        told = placed.filter("idx > 0").select(*doc, "len", "first", "hash").join(runs, found).filter(at >= 1).select(*doc, "len", at.cast("int").alias("at"), "w_key").distinct()
+        cands = told.groupBy(*[F.col(c).alias(f"c_{c}") for c in doc]).agg(F.collect_set(F.struct("at", "len", "w_key")).alias("cands"))
+        same = F.lit(True)
+        for c in doc:
+            same &= F.col(c).eqNullSafe(F.col(f"c_{c}"))
+        met = base.join(cands, same).select(*doc, "words", F.explode("cands").alias("c")).select(*doc, "words", "c.*")
+        met = met.withColumn("own_words", _run(F.col("words"), F.col("at"), F.col("len"))).drop("words").distinct()
+        met = met.join(windows.select("w_key", "w_words", "w_items"), "w_key").filter(F.col("own_words") == F.col("w_words"))
+        rows = base.select(*doc, F.lit(True).alias("own"), F.lit(None).cast("struct<at:int,len:int>").alias("hit"), F.lit(None).cast("array<string>").alias("w_items"))
+        rows = rows.unionByName(met.select(*doc, F.lit(False).alias("own"), F.struct("at", "len").alias("hit"), "w_items"))
+    per_doc = rows.groupBy(*doc).agg(
+        F.count_if("own").alias("copies"),
+        F.array_sort(F.collect_set("hit")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"),
     )
     empty = F.array().cast("array<struct<a:int,z:int>>")
 
@@ -115,8 +146,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width
 
     The decisions are a narrow table; it is broadcast if its size allows, so clean texts are not shuffled.
     """
-    from sqlscope.llm.common import materialize, small
-
     names = docs.columns
     # a flag column name that no column of docs has
     fp, chars, spans = (next(c for c in (f"{x}{'_' * i}" for i in range(len(names) + 1)) if c not in names) for x in ("fp", "chars", "spans"))
