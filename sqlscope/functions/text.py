@@ -1,15 +1,19 @@
 """SQL text functions: Column in, Column out, all of them JVM regular expressions.
 
-Parentheses are balanced to a depth of DEPTH by a nested pattern with possessive
-quantifiers, so no Python runs and matching does not backtrack.
+Parentheses are balanced by a nested pattern with possessive quantifiers, so no
+Python runs and matching does not backtrack. A statement whose parentheses nest
+deeper than DEPTH, which few do, is folded token by token instead (fold()), to any
+depth. Block comments may nest COMMENTS deep.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPTH = 6
+DEPTH, COMMENTS = 6, 24
 LITERAL = r"'(?:[^'\\]++|''|\\.)*+(?:'|$)"
 IDENT = r"(?:`[^`]+`|\"[^\"]+\"|[A-Za-z_][A-Za-z0-9_$]*)"
 NAME = rf"(?:{IDENT}\.)?{IDENT}"
@@ -35,7 +39,7 @@ def balanced(depth: int = DEPTH) -> str:
     return inner
 
 
-def _nested_comment(depth: int = 3) -> str:
+def _nested_comment(depth: int = COMMENTS) -> str:
     inner = r"(?:[^*/]++|\*(?!/)|/(?!\*))*+"
     for _ in range(depth):
         inner = rf"(?:[^*/]++|\*(?!/)|/(?!\*)|/\*{inner}\*/)*+"
@@ -85,22 +89,47 @@ def normalize(q: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(n, r"\s+", " ")))
 
 
+def is_deep(q: Column) -> Column:
+    """Whether parentheses nest deeper than the patterns reach."""
+    many = F.length(q) - F.length(F.replace(q, F.lit("("), F.lit(""))) > DEPTH
+    return F.coalesce(many & has(F.regexp_replace(mask(q), rf"\({balanced()}\)", ""), r"\("), F.lit(False))
+
+
+def fold(q: Column, opening: str, put: Callable[[Column], Column]) -> Column:
+    """``q`` with each outermost parenthesis that ``opening`` starts as put(its text); one that never closes stays."""
+    tokens = F.regexp_extract_all(q, F.lit(rx(rf"{LITERAL}|{opening}|\(|\)|[^'()]+")), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("held"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, t: Column) -> Column:
+        inside, opens, held = acc["depth"] > 0, t.rlike(rx(rf"^{opening}$")), F.concat(acc["held"], t)
+        depth = F.when(inside, acc["depth"] + F.when(t.startswith("("), 1).when(t == ")", -1).otherwise(0)).when(opens, 1).otherwise(0)
+        closes = inside & (depth == 0)
+        out = F.when(closes, F.concat(acc["out"], put(held))).when(inside | opens, acc["out"]).otherwise(F.concat(acc["out"], t))
+        return F.struct(out.alias("out"), F.when(depth > 0, held).otherwise("").alias("held"), depth.alias("depth"))
+
+    return F.aggregate(tokens, start, step, lambda acc: F.concat(acc["out"], acc["held"]))
+
+
+def _blank(inner: Column) -> Column:
+    """As long as it was, so places stay."""
+    return F.concat(F.lit("("), F.repeat(F.lit("x"), F.length(inner) - 2), F.lit(")"))
+
+
 def strip_cte(q: Column) -> Column:
     """Without a leading WITH list."""
-    b = balanced()
-    head = rf"^\s*WITH\s+(?:RECURSIVE\s+)?{IDENT}\s*(?:\([^()]*\)\s*)?AS\s*\({b}\)(?:\s*,\s*{IDENT}\s*(?:\([^()]*\)\s*)?AS\s*\({b}\))*+\s*"
-    return F.when(has(q, r"^\s*WITH\b"), F.regexp_replace(q, rx(head), "")).otherwise(q)
 
+    def head(b: str) -> str:
+        return rf"^\s*WITH\s+(?:RECURSIVE\s+)?{IDENT}\s*(?:\([^()]*\)\s*)?AS\s*\({b}\)(?:\s*,\s*{IDENT}\s*(?:\([^()]*\)\s*)?AS\s*\({b}\))*+\s*"
 
-#: Longer statements lose their literals before their subqueries are removed.
-LONG = 10_000
+    far = F.substr(q, F.length(F.regexp_extract(fold(q, r"\(", _blank), rx(head("[^()]*")), 0)) + 1)
+    return F.when(has(q, r"^\s*WITH\b"), F.when(is_deep(q), far).otherwise(F.regexp_replace(q, rx(head(balanced())), ""))).otherwise(q)
 
 
 def remove_subqueries(q: Column) -> Column:
     """Each (SELECT ...) as (?)."""
     before = rf"\G((?:[^'(]++|{LITERAL}|\((?!\s*SELECT\b))*+)"
-    q = F.when(F.length(q) > LONG, mask(q)).otherwise(q)
-    return F.when(has(q, r"\(\s*SELECT\b"), F.regexp_replace(q, rx(rf"{before}\(\s*SELECT\b{balanced()}\)"), "$1(?)")).otherwise(q)
+    near = F.regexp_replace(q, rx(rf"{before}\(\s*SELECT\b{balanced()}\)"), "$1(?)")
+    return F.when(has(q, r"\(\s*SELECT\b"), F.when(is_deep(q), fold(q, r"\(\s*SELECT\b", lambda _: F.lit("(?)"))).otherwise(near)).otherwise(q)
 
 
 def op(q: Column) -> Column:
@@ -136,7 +165,11 @@ def group_body(q: Column) -> Column:
 def select_list(q: Column) -> Column:
     """Text between SELECT and its FROM, subqueries included."""
     plain_run = r"[^()'Ff]++|[Ff](?!ROM\b)|(?<=\w)[Ff]"
-    return first(q, rf"^\s*SELECT\s+((?:{plain_run}|{LITERAL}|\({balanced()}\))*?)\bFROM\b")
+    shape = lambda b: rf"^\s*SELECT\s+((?:{plain_run}|{LITERAL}|\({b}\))*?)\bFROM\b"
+    blank = fold(q, r"\(", _blank)
+    begin = F.length(F.regexp_extract(blank, rx(r"^\s*SELECT\s+"), 0)) + 1
+    found = F.regexp_extract(blank, rx(shape("[^()]*")), 1)
+    return F.when(is_deep(q), F.when(found != "", F.substr(q, begin, F.length(found)))).otherwise(first(q, shape(balanced())))
 
 
 def on_bodies(q: Column) -> Column:
@@ -194,7 +227,8 @@ def aliases(q: Column) -> Column:
     named = rf"({NAME})(?:\s+(?:AS\s+)?({_NOT_ALIAS}{IDENT}))?"
     p = rf"(?:\b(?:FROM|JOIN)|^\s*UPDATE)\s+{named}"
     source = first(q, r"\bFROM\b(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\bUNION\b|\bJOIN\b|\bFOR\b|$)")
-    listed = F.slice(F.split(F.coalesce(source, F.lit("")), ","), 2, 1000)
+    every_item = F.split(F.coalesce(source, F.lit("")), ",")
+    listed = F.slice(every_item, 2, F.size(every_item))
     item = rf"^\s*{named}"
     more = F.transform(listed, lambda x: F.struct(F.regexp_extract(x, rx(item), 1).alias("0"), F.regexp_extract(x, rx(item), 2).alias("1")))
     zipped = F.concat(F.arrays_zip(every(q, p, 1), every(q, p, 2)), more)
@@ -297,5 +331,9 @@ def has_offset(q: Column) -> Column:
 
 
 def split_top_level(body: Column) -> Column:
-    """Items of a comma list; what lies in parentheses is dropped from an item, its parentheses stay."""
-    return F.split(F.regexp_replace(body, "(?s)" + rf"\({balanced()}\)", "()"), ",")
+    """Items of a comma list as they are written; commas in parentheses and literals don't part them."""
+    hidden = lambda x: F.translate(x, ",", "\uFFFD")
+    base = F.when(is_deep(body), fold(body, r"\(", hidden)).otherwise(body)
+    marked = F.split(F.regexp_replace(base, "(?s)" + rf"\({balanced()}\)|{LITERAL}", "\uFFFE$0\uFFFE"), "\uFFFE")
+    joined = F.array_join(F.transform(marked, lambda x, i: F.when(i % 2 == 1, hidden(x)).otherwise(x)), "")
+    return F.transform(F.split(joined, ","), lambda x: F.translate(x, "\uFFFD", ","))

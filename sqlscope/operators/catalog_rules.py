@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscope.config import AuditConfig
+from sqlscope.functions import text as T
 from sqlscope.functions.text import has
 from sqlscope.operators import features
 from sqlscope.schema import TEST
@@ -105,7 +106,7 @@ def _group() -> Column:
 def missing_group(f: DataFrame, w: DataFrame, catalog: DataFrame) -> DataFrame:
     g = features.listed(f.filter("op = 'SELECT'"), _group()).filter("table_name is not null")
     pk = C.table_facts(catalog).select("table_name", "pk")
-    g = C.has_table(g, catalog).join(F.broadcast(pk), "table_name")
+    g = C.has_table(g, catalog).join(pk, "table_name")
     listed = F.collect_set("column_name").over(Window.partitionBy(*KEY, "table_name"))
     g = g.withColumn("all_pk", (F.size("pk") > 0) & (F.size(F.array_except("pk", listed)) == 0)).filter(~F.col("all_pk"))
     g = C.lookup(g, catalog).filter("leading is null").join(_per_table(w), [*KEY, "table_name"], "left_outer").filter(~_true("indexed_others"))
@@ -114,19 +115,23 @@ def missing_group(f: DataFrame, w: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def composite_leading(f: DataFrame, catalog: DataFrame) -> DataFrame:
     """A composite index whose first column is not compared while a later one is, WHERE columns closed over join equalities."""
-    used = features.where_columns(f.filter("op in ('SELECT', 'UPDATE', 'DELETE')")).filter("table_name is not null").select(*KEY, "table_name", "column_name").distinct()
-    e = f.filter(F.size("pairs") > 0).select(*KEY, "aliases", F.explode("pairs").alias("p"))
-    left = C.resolve_column(e.select(*KEY, "aliases", "p", F.col("p.lq").alias("qualifier"))).withColumnRenamed("table_name", "lt").drop("qualifier")
-    both = C.resolve_column(left.withColumn("qualifier", F.col("p.rq"))).select(*KEY, "lt", F.col("p.lc").alias("lc"), F.col("table_name").alias("rt"), F.col("p.rc").alias("rc")).filter("lt is not null and rt is not null")
-    both = both.unionByName(both.select(*KEY, F.col("rt").alias("lt"), F.col("rc").alias("lc"), F.col("lt").alias("rt"), F.col("lc").alias("rc"))).distinct()
-    closed = used
-    for _ in range(3):  # chains of up to eight equalities: the reach doubles where chains meet
-        step = closed.join(both, [*[closed[k].eqNullSafe(both[k]) for k in KEY], closed["table_name"] == both["lt"], closed["column_name"] == both["lc"]])
-        closed = closed.unionByName(step.select(*[closed[k] for k in KEY], F.col("rt").alias("table_name"), F.col("rc").alias("column_name"))).distinct()
-    cols = closed.groupBy(*KEY, "table_name").agg(F.collect_set("column_name").alias("used"))
+    kind = "array<struct<t:string,c:string>>"
+    aliases = F.col("aliases")
+    named = lambda qualifier, column: F.struct(T.resolve(qualifier, aliases).alias("t"), column.alias("c"))
+    used = F.array_distinct(F.filter(F.transform("refs", lambda r: named(r["qualifier"], r["column"])), lambda x: x["t"].isNotNull()))
+    pairs = F.transform("pairs", lambda p: F.struct(named(p["lq"], p["lc"]).alias("l"), named(p["rq"], p["rc"]).alias("r")))
+    x = f.filter("op in ('SELECT', 'UPDATE', 'DELETE')").filter(F.size("refs") > 0).select(*KEY, used.cast(kind).alias("used"), F.filter(pairs, lambda p: p["l"]["t"].isNotNull() & p["r"]["t"].isNotNull()).alias("pairs"))
+
+    def step(acc: Column, _: Column) -> Column:
+        reached = lambda a, b: F.transform(F.filter("pairs", lambda p: F.array_contains(acc, p[a])), lambda p: p[b])
+        return F.array_union(F.array_union(acc, reached("l", "r")), reached("r", "l")).cast(kind)
+
+    # as many steps as there are equalities reach the end of every chain
+    closed = F.when(F.size("pairs") == 0, F.col("used")).otherwise(F.aggregate("pairs", F.col("used"), step))
+    cols = x.select(*KEY, F.explode(closed).alias("x")).groupBy(*KEY, F.col("x.t").alias("table_name")).agg(F.collect_set("x.c").alias("used"))
     shape = C.index_shape(catalog).filter(F.size("cols") > 1)
     lead = C.index_shape(catalog).groupBy("table_name").agg(F.collect_set(F.get("cols", F.lit(0))).alias("leads"))
-    j = cols.join(F.broadcast(shape), "table_name").join(F.broadcast(lead), "table_name")
+    j = cols.join(shape, "table_name").join(lead, "table_name")
     later = F.filter("cols", lambda c, i: (i > 0) & F.array_contains(F.col("used"), c) & ~F.array_contains(F.col("leads"), c))
     j = j.filter(~F.array_contains(F.col("used"), F.get("cols", F.lit(0)))).withColumn("later", later).filter(F.size("later") > 0)
     return issue(j.withColumn("column_name", F.get("cols", F.lit(0))), "composite-index-leading", "WARNING", detail=F.col("index_name"))
@@ -141,7 +146,7 @@ def covering(f: DataFrame, catalog: DataFrame, config: AuditConfig) -> DataFrame
     s = f.filter("op = 'SELECT'").filter(~T.has_select_all(F.col("m"))).select(*KEY, chosen.alias("chosen"), F.transform("refs", lambda r: r["column"]).alias("compared"), F.explode("tables").alias("table_name"), "t", F.size("tables").alias("many"))
     s = s.filter("many = 1 and size(compared) > 0 and size(chosen) > 0")
     pk = C.table_facts(catalog).select("table_name", "pk")
-    j = s.join(F.broadcast(C.index_shape(catalog).filter("index_name <> 'PRIMARY'")), "table_name").join(F.broadcast(pk), "table_name")
+    j = s.join(C.index_shape(catalog).filter("index_name <> 'PRIMARY'"), "table_name").join(pk, "table_name")
     j = j.filter(F.size(F.array_intersect("cols", "compared")) > 0).withColumn("missing", F.array_except(F.array_except("chosen", "cols"), "pk"))
     j = j.filter((F.size("missing") > 0) & (F.size("missing") <= config.covering_extra))
     one = j.groupBy(*KEY, "table_name").agg(F.min_by("missing", "index_name").alias("missing"), F.min("index_name").alias("index_name"))
@@ -159,7 +164,7 @@ def redundant(f: DataFrame, catalog: DataFrame) -> DataFrame:
     touched = f.select(*TEST, F.explode("tables").alias("table_name")).distinct()
     a, b = (C.index_shape(catalog).select("table_name", F.col("index_name").alias(f"{x}_name"), F.col("cols").alias(f"{x}_cols"), F.col("is_unique").alias(f"{x}_unique")) for x in "ab")
     pairs = a.filter("a_name <> 'PRIMARY'").join(b, "table_name").filter((F.size("a_cols") < F.size("b_cols")) & (F.slice("b_cols", 1, F.size("a_cols")) == F.col("a_cols")) & ~(F.col("a_unique") & ~F.col("b_unique")))
-    got = touched.join(F.broadcast(pairs.select("table_name", F.col("a_name").alias("column_name"), "b_name").distinct()), "table_name")
+    got = touched.join(pairs.select("table_name", F.col("a_name").alias("column_name"), "b_name").distinct(), "table_name")
     return issue(got, "redundant-index", "WARNING", query=None, detail=F.concat_ws(" covers ", "b_name", "column_name"))
 
 
@@ -167,7 +172,7 @@ def write_amplification(f: DataFrame, catalog: DataFrame, config: AuditConfig) -
     names = catalog.filter("index_name is not null").filter(~F.upper("index_name").rlike("^(?:FK_|CONSTRAINT_|SYS_|FKIDX_)"))
     many = names.groupBy("table_name").agg(F.count_distinct(F.lower("index_name")).alias("k")).filter(F.col("k") > config.write_amplification)
     touched = f.select(*TEST, F.explode(F.array_union("tables", F.array_compact(F.array("dml")))).alias("table_name")).distinct()
-    return issue(touched.join(F.broadcast(many), "table_name"), "write-amplification", "WARNING", query=None, column=None, detail=F.col("k").cast("string"))
+    return issue(touched.join(many, "table_name"), "write-amplification", "WARNING", query=None, column=None, detail=F.col("k").cast("string"))
 
 
 def dml_without_index(w: DataFrame) -> DataFrame:
@@ -178,7 +183,7 @@ def dml_without_index(w: DataFrame) -> DataFrame:
 def unstable_pages(f: DataFrame, catalog: DataFrame) -> DataFrame:
     o = features.listed(f.filter("op = 'SELECT'").filter(has(F.col("om"), r"\bLIMIT\b")), _order())
     known = C.table_facts(catalog).select("table_name", F.lit(True).alias("known"), "unique_cols")
-    o = o.join(F.broadcast(known), "table_name", "left_outer")
+    o = o.join(known, "table_name", "left_outer")
     stable = ~_true("known") | _true(F.array_contains("unique_cols", F.col("column_name")))
     one = o.groupBy(*KEY).agg(F.max(stable).alias("stable"), F.min_by("table_name", "pos").alias("table_name")).filter("not stable")
     return issue(one, "non-deterministic-pagination", "INFO", column=None)

@@ -30,8 +30,9 @@ def normalized(log: DataFrame) -> DataFrame:
 def representatives(log: DataFrame) -> DataFrame:
     """First statement of each pattern of a test, with the pattern's counts: the one wide shuffle of most rules."""
     ms = F.floor(F.col("exec_nanos") / 1_000_000)
+    order = F.struct(F.coalesce("seq", F.lit((1 << 63) - 1)), "ts", "sql")  # statements without a number come last
     return log.groupBy(*TEST, "nsql").agg(
-        F.min_by(F.struct("seq", "sql", "op", "stack_trace"), "seq").alias("first"),
+        F.min_by(F.struct("seq", "sql", "op", "stack_trace"), order).alias("first"),
         F.count(F.lit(1)).alias("n"),
         F.floor(F.median(F.when(ms > 0, ms))).cast("bigint").alias("median_ms"),
         F.count_if(ms > 0).alias("timed"),
@@ -58,10 +59,10 @@ def texts(reps: DataFrame) -> DataFrame:
 
 
 def with_catalog(f: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Facts of the first table beside the features: a broadcast row per table."""
+    """Facts of the first table beside the features. Spark broadcasts the catalogue if its size allows."""
     facts = C.table_facts(catalog)
     facts = facts.select(F.col("table_name").alias("t"), F.lit(True).alias("known"), "indexed", "pk", "uniques")
-    return f.join(F.broadcast(facts), "t", "left_outer")
+    return f.join(facts, "t", "left_outer")
 
 
 def where_columns(f: DataFrame) -> DataFrame:

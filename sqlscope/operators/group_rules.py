@@ -10,6 +10,8 @@ from sqlscope.functions import text as T
 from sqlscope.operators.catalog_rules import issue
 from sqlscope.schema import TEST
 
+#: Statements that one task orders, at most: sequence rules go range by range of seq.
+RANGE = 16_384
 
 def n_plus_one_suspect(f: DataFrame, config: AuditConfig) -> DataFrame:
     got = f.filter((F.col("op") == "SELECT") & (F.col("n") >= config.n_plus_one))
@@ -49,51 +51,84 @@ def _source(sql: Column) -> Column:
     return T.plain(T.first(sql, rf"\bFROM\s+({T.NAME})"))
 
 
-def _runs(log: DataFrame) -> DataFrame:
-    """Runs of consecutive statements with one operation and target: run number, and target table."""
-    table = F.when(F.col("op") == "SELECT", _source(F.col("sql"))).otherwise(T.dml_table(F.col("sql")))
-    w = Window.partitionBy(*TEST).orderBy("seq")
-    x = log.withColumn("target", table)
-    change = ~(F.lag("op").over(w).eqNullSafe(F.col("op")) & F.lag("target").over(w).eqNullSafe(F.col("target")))
-    return x.withColumn("run", F.sum(change.cast("int")).over(w))
+def _runs(log: DataFrame, kind: Column) -> DataFrame:
+    """``log`` with the number of its run: statements of a test in a row that agree in ``kind``.
+
+    A test is ordered range by range of seq; only borders of ranges meet across a test.
+    """
+    at = (*TEST, "range_")
+    x = log.withColumns({"range_": F.floor(F.col("seq") / RANGE), "kind_": kind})
+    w = Window.partitionBy(*at).orderBy("seq")
+    x = x.withColumn("before_", F.lag("kind_").over(w))
+    x = x.withColumn("change_", (F.col("before_").isNotNull() & (F.col("before_") != F.col("kind_"))).cast("int"))
+    x = x.withColumn("run", F.sum("change_").over(w))
+    borders = x.groupBy(*at).agg(F.min_by("kind_", "seq").alias("first_"), F.max_by("kind_", "seq").alias("last_"), F.sum("change_").alias("changes_"))
+    across = Window.partitionBy(*TEST).orderBy("range_")
+    borders = borders.withColumn("new_", F.coalesce(F.lag("last_").over(across) != F.col("first_"), F.lit(True)).cast("int"))
+    borders = borders.withColumn("base_", F.sum(F.col("changes_") + F.col("new_")).over(across) - F.col("changes_"))
+    joined = _meet(x, borders.select(*at, "base_"), at)
+    return joined.withColumn("run", F.col("run") + F.col("base_")).drop("range_", "kind_", "before_", "change_", "base_")
+
+
+def _meet(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Rows of ``left`` with what ``right`` has beside ``names``, null names included."""
+    same = F.lit(True)
+    for c in names:
+        same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    return left.join(right.withColumnsRenamed({c: f"b_{c}" for c in names}), same, how).drop(*[f"b_{c}" for c in names])
 
 
 def collection_reinsert(log: DataFrame, config: AuditConfig) -> DataFrame:
     """A DELETE by one to four columns followed at once by INSERTs into its table; with several columns all inserted values must agree with the deleted ones."""
-    x = _runs(log)
-    pairs_of = lambda w: F.arrays_zip(T.every(w, r"(?:\w+\.)?(\w+)\s*=\s*(?:\?|\d+|'[^']*')", 1), T.every(w, r"(?:\w+\.)?\w+\s*=\s*(\?|\d+|'[^']*')", 1))
-    w = F.coalesce(F.when(F.col("op") == "DELETE", T.where_body(F.col("sql"))), F.lit(""))
-    x = x.withColumn("refs", T.where_refs(w)).withColumn("eq", pairs_of(w))
-    cols = F.transform(F.split(T.first(F.col("sql"), r"\bINTO\s+[\w`\".]+\s*\(([^)]*)\)"), ","), lambda c: T.plain(F.trim(c)))
-    vals = F.transform(F.split(T.first(F.col("sql"), r"\bVALUES\s*\(([^)]*)\)"), ","), F.trim)
-    x = x.withColumn("given", F.when(F.col("op") == "INSERT", F.map_from_arrays(F.array_distinct(cols), F.slice(vals, 1, F.size(F.array_distinct(cols))))))
-    inserts = x.filter("op = 'INSERT'").select(*TEST, "run", "given", F.col("target").alias("into"))
+    table = F.when(F.col("op") == "SELECT", _source(F.col("sql"))).otherwise(T.dml_table(F.col("sql")))
+    x = _runs(log.select(*TEST, "seq", "sql", "op", table.alias("target")), F.struct("op", "target"))
     # the DELETE is the last of its run; the INSERT run follows it
-    last = x.withColumn("next_run", F.lead("run").over(Window.partitionBy(*TEST).orderBy("seq"))).filter("op = 'DELETE' and next_run <> run")
+    last = x.filter("op = 'DELETE'").groupBy(*TEST, "run", "target").agg(F.max_by("sql", "seq").alias("sql"), F.max("seq").alias("seq"))
+    w = F.coalesce(T.where_body(F.col("sql")), F.lit(""))
+    pairs = F.arrays_zip(T.every(w, r"(?:\w+\.)?(\w+)\s*=\s*(?:\?|\d+|'[^']*')", 1), T.every(w, r"(?:\w+\.)?\w+\s*=\s*(\?|\d+|'[^']*')", 1))
+    last = last.withColumn("refs", T.where_refs(w)).withColumn("eq", pairs)
     last = last.filter((F.size("refs") >= 1) & (F.size("refs") <= config.collection_max_where) & ((F.size("refs") == 1) | ((F.size("eq") == F.size("refs")))))
-    j = last.select(*TEST, "seq", "sql", "target", "refs", "eq", F.col("next_run").alias("run")).join(inserts, [*TEST, "run"]).filter("target = into")
+    last = last.select(*TEST, (F.col("run") + 1).alias("run"), "target", "seq", F.col("sql").alias("deleted"), "refs", "eq")
+    cols = F.array_distinct(F.transform(F.split(T.first(F.col("sql"), r"\bINTO\s+[\w`\".]+\s*\(([^)]*)\)"), ","), lambda c: T.plain(F.trim(c))))
+    vals = F.transform(F.split(T.first(F.col("sql"), r"\bVALUES\s*\(([^)]*)\)"), ","), F.trim)
+    inserts = x.filter("op = 'INSERT' and target is not null").select(*TEST, "run", "target", F.map_from_arrays(cols, F.slice(vals, 1, F.size(cols))).alias("given"))
+    j = _meet(inserts, last, (*TEST, "run", "target"))
     agree = (F.size("refs") == 1) | F.forall("eq", lambda e: F.coalesce((F.try_element_at("given", F.lower(e["0"])) == e["1"]) | (e["1"] == "?") | (F.try_element_at("given", F.lower(e["0"])) == "?"), F.lit(False)))
-    runs = j.groupBy(*TEST, "seq", "sql", "target").agg(F.count(F.lit(1)).alias("k"), F.min(agree).alias("all_agree")).filter((F.col("k") >= config.collection_min_inserts) & F.col("all_agree"))
+    runs = j.groupBy(*TEST, "seq", F.col("deleted").alias("sql"), "target").agg(F.count(F.lit(1)).alias("k"), F.min(agree).alias("all_agree")).filter((F.col("k") >= config.collection_min_inserts) & F.col("all_agree"))
     once = runs.groupBy(*TEST, "target").agg(F.min_by(F.struct("sql", "k"), "seq").alias("x")).select(*TEST, F.col("target").alias("table_name"), "x.*")
     return issue(once, "collection-delete-reinsert", "WARNING", query="sql", column=None, detail=F.concat(F.col("k").cast("string"), F.lit(" inserts")))
 
 
 def derived_delete(log: DataFrame, config: AuditConfig) -> DataFrame:
     """A SELECT with WHERE on a table, then (SELECTs may lie between) DELETEs from it by one equality each."""
-    x = _runs(log.filter("op <> 'SELECT'"))
     refs = T.where_refs(F.coalesce(F.when(F.col("op") == "DELETE", T.where_body(F.col("sql"))), F.lit("")))
     single = F.coalesce((F.size(refs) == 1) & (F.get(refs, F.lit(0))["op"] == "="), F.lit(False))
-    x = x.withColumn("ok", (F.col("op") == "DELETE") & single)
-    w = Window.partitionBy(*TEST).orderBy("seq")
-    x = x.withColumn("part", F.sum((~F.col("ok") | (F.lag("run").over(w) != F.col("run")) | ~F.coalesce(F.lag("ok").over(w), F.lit(False))).cast("int")).over(w))
-    tail = Window.partitionBy(*TEST, "part").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-    x = x.withColumn("following", F.when(F.col("ok"), F.count(F.lit(1)).over(tail)).otherwise(0))
-    s = log.filter("op = 'SELECT'").filter(T.has_where(F.col("sql"))).withColumn("target", _source(F.col("sql")))
-    both = s.select(*TEST, "seq", "sql", "target", F.lit(None).cast("struct<t:string,k:bigint>").alias("nxt"), F.lit(True).alias("is_select")).unionByName(
-        x.select(*TEST, "seq", "sql", "target", F.struct(F.col("target").alias("t"), F.col("following").cast("bigint").alias("k")).alias("nxt"), F.lit(False).alias("is_select"))
-    )
-    ahead = Window.partitionBy(*TEST).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumn("next_dml", F.first("nxt", ignorenulls=True).over(ahead)).filter("is_select")
+    x = log.filter("op <> 'SELECT'").select(*TEST, "seq", T.dml_table(F.col("sql")).alias("target"), ((F.col("op") == "DELETE") & single).alias("ok"), "op")
+    x = _runs(x, F.struct("op", "target", "ok")).filter("ok and target is not null")
+    # how many DELETEs of a run there are from each on
+    run = x.groupBy(*TEST, "run").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= config.derived_delete)
+    deletes = _meet(x, run.select(*TEST, "run", "many"), (*TEST, "run"))
+    deletes = deletes.withColumn("range_", F.floor(F.col("seq") / RANGE))
+    within = deletes.groupBy(*TEST, "run", "range_").agg(F.count(F.lit(1)).alias("here"))
+    across = Window.partitionBy(*TEST, "run").orderBy("range_")
+    within = within.withColumn("earlier", F.sum("here").over(across) - F.col("here"))
+    at = (*TEST, "run", "range_")
+    deletes = _meet(deletes, within.select(*at, "earlier"), at)
+    nth = F.row_number().over(Window.partitionBy(*at).orderBy("seq"))
+    deletes = deletes.select(*TEST, "seq", "target", (F.col("many") - F.col("earlier") - nth + 1).alias("k"))
+
+    s = log.filter("op = 'SELECT'").filter(T.has_where(F.col("sql"))).select(*TEST, "seq", "sql", _source(F.col("sql")).alias("target"), F.lit(True).alias("is_select"), F.lit(None).cast("struct<t:string,k:bigint>").alias("dml"))
+    other = _meet(log.filter("op <> 'SELECT'").select(*TEST, "seq"), deletes, (*TEST, "seq"), "left_outer")
+    other = other.select(*TEST, "seq", F.lit(None).cast("string").alias("sql"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("is_select"), F.struct(F.col("target").alias("t"), F.col("k").cast("bigint").alias("k")).alias("dml"))
+    both = s.unionByName(other).withColumn("range_", F.floor(F.col("seq") / RANGE))
+    # the next statement that is no SELECT: in its range of seq, or the first of a later one
+    ahead = Window.partitionBy(*TEST, "range_").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("next_dml", F.last("dml", ignorenulls=True).over(ahead))
+    firsts = both.groupBy(*TEST, "range_").agg(F.min_by("dml", F.when(~F.col("is_select"), F.col("seq"))).alias("first_"))
+    later = Window.partitionBy(*TEST).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)
+    at = (*TEST, "range_")
+    firsts = firsts.select(*at, F.last("first_", ignorenulls=True).over(later).alias("far"))
+    both = _meet(both.filter("is_select"), firsts, at).withColumn("next_dml", F.coalesce("next_dml", "far"))
     got = both.filter((F.col("next_dml.t") == F.col("target")) & (F.col("next_dml.k") >= config.derived_delete))
     once = got.groupBy(*TEST, "target").agg(F.min_by(F.struct("sql", "next_dml"), "seq").alias("x"))
     once = once.select(*TEST, F.col("target").alias("table_name"), F.col("x.sql").alias("sql"), F.col("x.next_dml.k").alias("k"))
@@ -117,10 +152,11 @@ def find_by_id(explicit: DataFrame, lazy: DataFrame, log: DataFrame) -> DataFram
     firsts = firsts.withColumn("simple", simple).join(owner, [*TEST, "simple", "entity_id"], "left_anti")
     camel = F.concat(F.lower(F.substring("simple", 1, 1)), F.expr("substring(simple, 2)"))
     snake = F.lower(F.regexp_replace("simple", "(?<=[a-z0-9])(?=[A-Z])", "_"))
-    # one name to look for per entity, so the join is by test and the text test a residual
-    names = firsts.withColumn("pattern", F.concat(F.lit(r"(?i)\b(?:"), snake, F.lit("_id|"), camel, F.lit(r"Id)\b")))
-    writes = log.filter("op in ('INSERT', 'UPDATE')").select(*TEST, F.col("ts").alias("written"), F.col("sql").alias("stmt"))
-    got = names.join(writes, list(TEST)).filter((F.col("written") > F.col("loaded")) & F.expr("stmt rlike pattern"))
+    names = firsts.withColumn("word", F.explode(F.array_distinct(F.array(F.concat(snake, F.lit("_id")), F.lower(F.concat(camel, F.lit("Id")))))))
+    # the last write that names a key tells whether any came after the load
+    word = F.explode(F.array_distinct(F.transform(T.every(F.col("sql"), r"\b\w+id\b", 0), F.lower))).alias("word")
+    writes = log.filter("op in ('INSERT', 'UPDATE')").select(*TEST, "ts", word).groupBy(*TEST, "word").agg(F.max("ts").alias("written"))
+    got = names.join(writes, [*TEST, "word"]).filter(F.col("written") > F.col("loaded"))
     got = got.select(*TEST, "entity", "entity_id").distinct().withColumn("nsql", F.concat(F.lit("findById: "), F.col("entity"), F.lit("#"), F.col("entity_id")))
     return issue(got.withColumn("table_name", F.col("entity")), "find-by-id-for-association", "INFO", column=None)
 

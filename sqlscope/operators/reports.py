@@ -41,7 +41,7 @@ def by_return_type(issues: DataFrame, types: DataFrame | None) -> DataFrame:
     if types is None:
         return issues
     known = types.select(F.col("method").alias("r_method"), F.upper("return_type").alias("r_type")).dropDuplicates(["r_method"])
-    j = issues.join(F.broadcast(known), files.return_type_of(F.col("source_location")) == F.col("r_method"), "left_outer")  # a row per repository method
+    j = issues.join(known, files.return_type_of(F.col("source_location")) == F.col("r_method"), "left_outer")  # a row per repository method
     unbounded = F.col("code") == "unbounded-result-set"
     j = j.filter(~(unbounded & F.coalesce(F.col("r_type").isin("OPTIONAL", "SINGLE_ENTITY", "PAGE_OR_SLICE"), F.lit(False))))
     hint = unbounded & (F.col("r_type") == "COLLECTION") & T.has_where(F.col("query"))
@@ -54,7 +54,7 @@ def acknowledge(issues: DataFrame, baseline: DataFrame | None) -> DataFrame:
         return issues.withColumn("acknowledged", F.lit(False))
     b = baseline.select(F.col("code").alias("b_code"), F.lower("table_name").alias("b_table"), F.lower("column_name").alias("b_column")).distinct()
     per_code = b.groupBy("b_code").agg(F.collect_list(F.struct("b_table", "b_column")).alias("entries"))
-    j = issues.join(F.broadcast(per_code), F.col("code") == F.col("b_code"), "left_outer")  # a hand-written file
+    j = issues.join(per_code, F.col("code") == F.col("b_code"), "left_outer")  # a hand-written file
     fits = F.exists("entries", lambda e: (e["b_table"].isNull() | F.coalesce(e["b_table"] == F.lower("table_name"), F.lit(False))) & (e["b_column"].isNull() | F.coalesce(e["b_column"] == F.lower("column_name"), F.lit(False))))
     return j.withColumn("acknowledged", F.coalesce(fits, F.lit(False))).drop("b_code", "entries")
 

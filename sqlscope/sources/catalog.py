@@ -86,17 +86,17 @@ def table_facts(catalog: DataFrame) -> DataFrame:
 
 def lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Columns (table_name, column_name) with what the catalogue has: left join, facts null where unindexed."""
-    return refs.join(F.broadcast(column_facts(catalog)), ["table_name", "column_name"], "left_outer")
+    return refs.join(column_facts(catalog), ["table_name", "column_name"], "left_outer")
 
 
 def has_table(refs: DataFrame, catalog: DataFrame) -> DataFrame:
-    return refs.join(F.broadcast(catalog.select("table_name").distinct()), "table_name", "left_semi")
+    return refs.join(catalog.select("table_name").distinct(), "table_name", "left_semi")
 
 
 def covers_unique(equal: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows (table_name, cols) of which some unique index has no other column."""
     shape = index_shape(catalog).filter("is_unique").select("table_name", F.col("cols").alias("index_cols"))
-    joined = equal.join(F.broadcast(shape), "table_name").filter(F.size(F.array_except("index_cols", "cols")) == 0)
+    joined = equal.join(shape, "table_name").filter(F.size(F.array_except("index_cols", "cols")) == 0)
     return joined.drop("index_cols").distinct()
 
 

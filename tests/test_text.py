@@ -73,7 +73,25 @@ def test_lists_and_offsets(spark):
     assert [(c.qualifier, c.column) for c in value(spark, sql, T.group_columns)] == [("t", "a")]
     assert value(spark, sql, T.offset_value) == 10
     assert value(spark, "select 1 limit 5 offset 99999999999999999999", T.offset_value) is None
-    assert value(spark, "a, f(b, c), d", T.split_top_level) == ["a", " f()", " d"]
+    assert value(spark, "a, f(b, c), d", T.split_top_level) == ["a", " f(b, c)", " d"]
+    assert value(spark, "a, 'x, (' , (select f(1, 2), g((((((((3, 4)))))))) from t), d", T.split_top_level) == ["a", " 'x, (' ", " (select f(1, 2), g((((((((3, 4)))))))) from t)", " d"]
+
+
+def test_any_depth_and_length(spark):
+    """Ten and fifty levels of parentheses, statements of a megabyte, literals with parentheses."""
+    for levels in (3, 10, 50):
+        inner = "(select 1 from u where (v = " * levels + "'b)('" + "))" * levels
+        sql = f"select a, {inner} x from t where k = {inner} and z = ')'"
+        assert value(spark, sql, T.remove_subqueries) == "select a, (?) x from t where k = (?) and z = ')'"
+        assert value(spark, f"with c as {inner}, d (e) as (select 2) {sql}", T.strip_cte) == sql
+        assert value(spark, sql, T.select_list).strip() == f"a, {inner} x"
+        assert value(spark, f"a, {inner}, b", T.split_top_level) == ["a", f" {inner}", " b"]
+    assert value(spark, "select a from t where x = (select 1" + "(" * 20, T.remove_subqueries) == "select a from t where x = (select 1" + "(" * 20
+    assert value(spark, "a /* 1 /* 2 /* 3 /* 4 */ */ */ */ b", T.strip_comments).split() == ["a", "b"]
+    values = ",".join(f"'v{k}'" for k in range(100_000))
+    long = f"select a from t where x in ({values}) and y = (select max(z) from u where k in ({values}))"
+    assert value(spark, long, T.remove_subqueries) == f"select a from t where x in ({values}) and y = (?)"
+    assert value(spark, long, T.normalize) == "select a from t where x in (?) and y = (select max(z) from u where k in (?))"
 
 
 def test_or_conditions(spark):
