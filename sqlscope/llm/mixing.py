@@ -2,15 +2,14 @@
 
 A source's target is its share of all words by weight, never more than
 ``max_repeat`` times its size; what the cap leaves is shared again by weight.
-Inside a source a document is included in proportion to a weight of its own, the
-whole square root of its size: it is to be taken e = min(c * weight, max_repeat)
-times, with one c per source so that the words expected are the target. It gets
-floor(e) certain whole copies; the rest of the target is an unequal-probability
-sample: documents are ranked by random odds over inclusion odds,
-(u / (1 - u)) / (p / (1 - p)) with p = e - floor(e), and taken in that order until
-the words left are filled. The cut lies where at least half of the next document
-fits, so a source misses its target by half a document at most (unless its
-documents run out).
+Every document of a source gets floor(target / size of the source) certain whole
+copies. The rest of the target is an unequal-probability sample: a document is
+included with p = min(c * weight, 1), its weight the whole square root of its size
+and c such that the words expected are those left; where that is 1 it is one more
+certain copy. The others are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), and taken in that order until the words left are
+filled. The cut lies where at least half of the next document fits, so a source
+misses its target by half a document at most (unless its documents run out).
 
 The random number u comes from md5 of the id, so reruns agree. The cut of a
 source is found from sums over ranges of the key, then inside one range; no task holds
@@ -79,28 +78,30 @@ def inclusion() -> Column:
     return F.floor(F.sqrt("size")).cast("long")
 
 
-def rates(rows: DataFrame, goal: DataFrame, max_repeat: int) -> DataFrame:
-    """``goal`` with c and the words left beside the certain copies, per source.
+def rates(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` (source, source_size, target) with the whole copies of all, c, and the words left beside certain copies.
 
-    Of the weights of a source the largest may be clipped at max_repeat; c is that of the largest weight that is not.
+    Of the weights of a source the largest may be clipped at 1; c is that of the largest weight that is not.
     """
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     per = rows.filter("size > 0").groupBy(F.col("source").alias("s"), inclusion().alias("m")).agg(F.sum("size").alias("words"))
     down = Window.partitionBy("s").orderBy(F.desc("m"))
     up = Window.partitionBy("s").orderBy("m")
-    per = per.join(goal.select("source", "target"), F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    per = per.join(goal.select("source", "whole", "rest"), F.col("s").eqNullSafe(F.col("source"))).drop("source")
     per = per.withColumn("clipped", F.sum("words").over(down) - F.col("words")).withColumn("below", F.sum(F.col("m") * F.col("words")).over(up))
-    c = (F.col("target") - max_repeat * F.col("clipped")) / F.col("below")
-    per = per.withColumn("c", c).withColumn("c", F.when(F.col("c") * F.col("m") <= max_repeat, F.col("c")))
+    c = (F.col("rest") - F.col("clipped")) / F.col("below")
+    per = per.withColumn("c", c).withColumn("c", F.when(F.col("c") * F.col("m") <= 1, F.col("c")))
     per = per.withColumn("c", F.max_by("c", F.when(F.col("c").isNotNull(), F.col("m"))).over(Window.partitionBy("s")))
-    certain = F.sum(F.floor(expected(F.col("m"), F.col("c"), max_repeat)) * F.col("words"))
+    certain = F.sum(F.floor(expected(F.col("m"))) * F.col("words"))
     found = per.groupBy("s").agg(F.max("c").alias("c"), certain.alias("certain"))
     joined = goal.join(found, F.col("source").eqNullSafe(F.col("s")), "left_outer").drop("s")
-    return joined.withColumn("left", F.col("target") - F.coalesce("certain", F.lit(0))).drop("certain")
+    return joined.withColumn("left", F.col("target") - F.coalesce("certain", F.lit(0))).drop("certain", "rest")
 
 
-def expected(m: Column, c: Column, max_repeat: int) -> Column:
+def expected(m: Column) -> Column:
     """How often a document of weight m is to be taken."""
-    return F.coalesce(F.least(c * m, F.lit(float(max_repeat))), F.lit(float(max_repeat)))
+    return F.col("whole") + F.coalesce(F.least(F.col("c") * m, F.lit(1.0)), F.lit(1.0))
 
 
 def cuts(rows: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -109,8 +110,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFram
     per_source = materialize(per_source, "mix-sources")
     goal = targets(per_source.select("source", "source_size"), weights, max_repeat)
     goal = goal.join(per_source.select(F.col("source").alias("s2"), "source_rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    goal = rates(rows, goal, max_repeat).withColumn("max_repeat", F.lit(max_repeat))
-    goal = materialize(goal.withColumn("ranges", F.ceil(F.col("source_rows") / RANGE_ROWS)), "mix-goal")
+    goal = materialize(rates(rows, goal).withColumn("ranges", F.ceil(F.col("source_rows") / RANGE_ROWS)), "mix-goal")
     keyed = keys(rows, goal).filter("key is not null")
     sums = keyed.groupBy("source", "range", "left").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +135,7 @@ def keys(rows: DataFrame, goal: DataFrame) -> DataFrame:
     known = goal.withColumnRenamed("source", "goal_source")
     known.facts = goal.facts
     joined = rows.join(small(known), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")  # a row per source
-    e = F.when(F.col("size") > 0, F.coalesce(F.least(F.col("c") * inclusion(), F.col("max_repeat").cast("double")), F.col("max_repeat").cast("double"))).otherwise(0.0)
+    e = F.when(F.col("size") > 0, expected(inclusion())).otherwise(0.0)
     p, u = F.col("expected") - F.floor("expected"), F.col("u")
     joined = joined.withColumn("expected", e).withColumn("key", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
     return joined.withColumn("range", F.floor(F.col("key") / (1 + F.col("key")) * F.col("ranges")))

@@ -131,13 +131,14 @@ goal AS (SELECT source, ss, CASE WHEN list_contains(capped, i) THEN CAST(3 * ss
            / CAST((SELECT sum(weight) FROM w, done WHERE NOT list_contains(capped, i)) AS DOUBLE) END AS target FROM w, done),
 e AS (SELECT *, CAST(floor(sqrt(size)) AS BIGINT) AS m FROM d),
 a AS (SELECT source, m, CAST(sum(size) AS BIGINT) AS words FROM e WHERE size > 0 GROUP BY source, m),
-h AS (SELECT a.*, target, CAST(coalesce((SELECT sum(x.words) FROM a x WHERE x.source IS NOT DISTINCT FROM a.source AND x.m > a.m), 0) AS BIGINT) AS clipped,
+z AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole FROM goal),
+h AS (SELECT a.*, target - CAST(whole AS BIGINT) * ss AS rest, CAST(coalesce((SELECT sum(x.words) FROM a x WHERE x.source IS NOT DISTINCT FROM a.source AND x.m > a.m), 0) AS BIGINT) AS clipped,
              CAST((SELECT sum(x.m * x.words) FROM a x WHERE x.source IS NOT DISTINCT FROM a.source AND x.m <= a.m) AS BIGINT) AS below
-      FROM a JOIN goal ON a.source IS NOT DISTINCT FROM goal.source),
-i AS (SELECT *, (target - 3 * clipped) / CAST(below AS DOUBLE) AS c FROM h),
-r AS (SELECT source, max_by(c, m) AS c FROM i WHERE c * m <= 3 GROUP BY source),
-t AS (SELECT e.*, ss, target, CASE WHEN size > 0 THEN coalesce(least(c * m, 3.0::DOUBLE), 3.0::DOUBLE) ELSE 0 END AS expected
-      FROM e JOIN goal ON e.source IS NOT DISTINCT FROM goal.source LEFT JOIN r ON e.source IS NOT DISTINCT FROM r.source),
+      FROM a JOIN z ON a.source IS NOT DISTINCT FROM z.source),
+i AS (SELECT *, (rest - clipped) / CAST(below AS DOUBLE) AS c FROM h),
+r AS (SELECT source, max_by(c, m) AS c FROM i WHERE c * m <= 1 GROUP BY source),
+t AS (SELECT e.*, ss, target, CASE WHEN size > 0 THEN z.whole + coalesce(least(c * m, 1.0::DOUBLE), 1.0::DOUBLE) ELSE 0 END AS expected
+      FROM e JOIN z ON e.source IS NOT DISTINCT FROM z.source LEFT JOIN r ON e.source IS NOT DISTINCT FROM r.source),
 f AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM t),
 l AS (SELECT source, max(target) - sum(CAST(whole AS BIGINT) * size) AS left_words FROM f GROUP BY source),
 k AS (SELECT f.*, left_words, (u / (1 - u)) / (p / nullif(1 - p, 0)) AS key FROM f JOIN l ON f.source IS NOT DISTINCT FROM l.source),

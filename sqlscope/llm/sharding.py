@@ -25,7 +25,9 @@ from sqlscope.llm.common import materialize, numbered, small
 
 #: Rows that a source partition, or a range of a shard, holds on average; numbers of the matrix at most.
 #: Beyond that many the partitions hold more rows, so the driver and the matrix stay bounded.
-PART_ROWS, MAX_CELLS = 8192, 1_500_000
+PART_ROWS, MAX_CELLS = 2048, 1_500_000
+#: Equal rows whose slots are handed out in one task at most; more are numbered in parts.
+EQUAL_ROWS = 4096
 
 
 def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -110,17 +112,24 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFr
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     places = materialize(assign(docs, shards, seed).select("doc_id", "text_hash", "shard", "slot"), "shard-places")
     repeated = places.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("many"))
-    repeated = materialize(repeated.filter("many > 1"), "shard-repeated")
+    repeated = materialize(repeated.filter(F.col("many") > EQUAL_ROWS), "shard-repeated")
     body = F.struct(*[F.col(f"`{c}`") for c in names]).alias("body")
     rows = docs.select(body).select("body", "body.doc_id", F.xxhash64("body.text").alias("text_hash"))
 
-    def in_turn(some: DataFrame) -> DataFrame:
-        if not repeated.facts["rows"]:
-            return some.withColumn("nth", F.lit(1).cast("long"))
-        told = some.join(small(repeated), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_outer").drop("id", "hash")
-        single, more = told.filter("many is null").drop("many"), told.filter("many is not null")
-        return single.withColumn("nth", F.lit(1).cast("long")).unionByName(numbered(more, ["doc_id", "text_hash"], "many").drop("many").withColumn("nth", F.col("nth").cast("long")))
+    often = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
 
-    slots = in_turn(places).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("nth").alias("turn"), "shard", "slot")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("nth") == F.col("turn"))
-    return in_turn(rows).join(slots, same).select("body.*", "shard", "slot")
+    def few(some: DataFrame) -> DataFrame:
+        return some.join(small(repeated), often, "left_anti") if repeated.facts["rows"] else some
+
+    slots = few(places).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("slots"))
+    # the join brings equal rows together, so this window moves nothing
+    joined = few(rows).join(slots, often).withColumn("place", F.get("slots", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1))) - 1))
+    out = joined.select("body.*", F.col("place.shard").alias("shard"), F.col("place.slot").alias("slot"))
+    if not repeated.facts["rows"]:
+        return out
+
+    def turns(some: DataFrame) -> DataFrame:
+        return numbered(some.join(small(repeated), often).drop("id", "hash"), ["doc_id", "text_hash"], "many").drop("many")
+
+    free = turns(places).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("nth").alias("turn"), "shard", "slot")
+    return out.unionByName(turns(rows).join(free, often & (F.col("nth") == F.col("turn"))).select("body.*", "shard", "slot"))
