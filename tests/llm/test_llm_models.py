@@ -431,3 +431,25 @@ def test_search_small(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     three = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(three).collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
+
+
+def test_search_ties_at_the_last_rank_and_repeated_ids(spark):
+    """Equal scores at rank 20 go to the smaller ids; a query id that is there twice asks once."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(k, [2.0, float(k % 2)]) for k in range(1, 60)] + [(20, [0.0, 1.0]), (7, [3.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == 0)
+    assert [v for _, v, _ in mine] == [7, *[k for k in range(1, 60) if k != 7][:19]] and mine[0][2] == 3.0 and mine[-1][2] == 2.0
+    assert sorted({r.query_id for r in got}) == [0, 20, 40] and sum(r.query_id == 20 for r in got) == 20
+
+
+def test_search_by_distance(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in e.collect() if r.embedding is not None}
+    hit, got = 0, {}
+    for r in ann.search(e, metric="l2").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, found in got.items():
+        want = sorted((float(((v - vectors[q]) ** 2).sum()), k) for k, v in vectors.items() if k != q)[:20]
+        hit += len({k for _, k in want} & {k for _, k, _ in found})
+        assert all(s == pytest.approx(-float(((vectors[k] - vectors[q]) ** 2).sum())) for _, k, s in found)
+    assert hit / (20 * len(got)) >= 0.95
