@@ -11,6 +11,7 @@ class AuditConfig:
     n_plus_one: int = 3
     offset_pagination: int = 1000
     or_clause: int = 3
+    #: Statements of a test that a capture keeps, where it is given to files.read_log().
     max_queries: int = 10_000
     large_in_list: int = 100
     too_many_joins: int = 5
@@ -30,5 +31,3 @@ class AuditConfig:
     suppress_issues: tuple[str, ...] = ()
     severity: dict[str, str] = field(default_factory=dict)
     fail_on: frozenset[str] = field(default_factory=frozenset)
-    #: Shuffled tables with more rows than this are not broadcast.
-    broadcast_rows: int = 400_000

@@ -26,6 +26,7 @@ class Context:
     count_baseline: DataFrame | None = None
     return_types: DataFrame | None = None
     plans: DataFrame | None = None
+    where: DataFrame | None = None
 
 
 Rule = Callable[[Context], DataFrame]
@@ -44,6 +45,12 @@ class AuditResult:
     summary: DataFrame
     counts: DataFrame
     log: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what the rules share, once results are read."""
+        for x in self.held:
+            x.unpersist()
 
     def failures(self, config: AuditConfig) -> DataFrame:
         return reports.failures(self.issues, config)
@@ -58,7 +65,7 @@ def context(log: DataFrame, catalog: DataFrame, config: AuditConfig | None = Non
 def run_rules(c: Context) -> DataFrame:
     """All findings before suppression. Rules of shape P cost one pass together; the others reuse the features."""
     parts = [predicate_rules.evaluate(c.features, c.config), predicate_rules.conversions(c.features)]
-    parts += catalog_rules.evaluate(c.features, c.catalog, c.config)
+    parts += catalog_rules.evaluate(c.features, c.catalog, c.config, c.where)
     parts += [f(c.features, c.config) for f in (group_rules.n_plus_one_suspect, group_rules.repeated_insert, group_rules.slow_query, group_rules.mergeable)]
     parts += [f(c.log, c.config) for f in (group_rules.collection_reinsert, group_rules.derived_delete)]
     if "duplicate-query" not in c.config.disabled:
@@ -77,14 +84,15 @@ def run_rules(c: Context) -> DataFrame:
 
 
 def audit(log: DataFrame, catalog: DataFrame, config: AuditConfig | None = None, baseline: DataFrame | None = None, **more: DataFrame | None) -> AuditResult:
-    """Findings with buckets, a summary row per test, and statement counts. The features are cached once for all rules."""
+    """Findings with buckets, a summary row per test, and statement counts. What rules share is computed once and held until release()."""
     config = config or AuditConfig()
     c = context(log, catalog, config, **more)
-    c = replace(c, features=c.features.persist())
+    c = replace(c, features=c.features.persist(), catalog=catalog.persist())
+    c = replace(c, where=catalog_rules.known_where(c.features, c.catalog).persist())
     found = run_rules(c)
     if not config.enabled:
         found = found.filter("false")
     found = reports.override(reports.suppress(found, config), config)
     issues = reports.classify(reports.acknowledge(found, baseline))
     whole = features.normalized(features.suppressed(log, config))
-    return AuditResult(issues, reports.summary(whole), reports.statement_counts(whole), whole)
+    return AuditResult(issues, reports.summary(whole), reports.statement_counts(whole), whole, (c.features, c.where, c.catalog))

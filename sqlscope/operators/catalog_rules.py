@@ -200,8 +200,9 @@ def locking(f: DataFrame, w: DataFrame) -> DataFrame:
     return out.unionByName(issue(shared, "for-update-non-unique", "WARNING")).unionByName(issue(ranges, "range-lock-risk", "WARNING"))
 
 
-def evaluate(f: DataFrame, catalog: DataFrame, config: AuditConfig) -> list[DataFrame]:
-    w = known_where(f, catalog)
+def evaluate(f: DataFrame, catalog: DataFrame, config: AuditConfig, w: DataFrame | None = None) -> list[DataFrame]:
+    """``w``: known_where(), if it is at hand."""
+    w = known_where(f, catalog) if w is None else w
     return [
         missing_where(w), missing_join(f, catalog), missing_order(f, w, catalog), missing_group(f, w, catalog), composite_leading(f, catalog), covering(f, catalog, config),
         order_limit(f, catalog), redundant(f, catalog), write_amplification(f, catalog, config), dml_without_index(w), unstable_pages(f, catalog), locking(f, w),

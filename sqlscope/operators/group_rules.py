@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sqlscope.config import AuditConfig
 from sqlscope.functions import text as T
+from sqlscope.operators import order
 from sqlscope.operators.catalog_rules import issue
+from sqlscope.operators.order import meet
 from sqlscope.schema import TEST
 
-#: Statements that one task orders, at most: sequence rules go range by range of seq.
-RANGE = 16_384
 
 def n_plus_one_suspect(f: DataFrame, config: AuditConfig) -> DataFrame:
     got = f.filter((F.col("op") == "SELECT") & (F.col("n") >= config.n_plus_one))
@@ -57,7 +57,7 @@ def _runs(log: DataFrame, kind: Column) -> DataFrame:
     A test is ordered range by range of seq; only borders of ranges meet across a test.
     """
     at = (*TEST, "range_")
-    x = log.withColumns({"range_": F.floor(F.col("seq") / RANGE), "kind_": kind})
+    x = log.withColumns({"range_": F.floor(F.col("seq") / order.RANGE), "kind_": kind})
     w = Window.partitionBy(*at).orderBy("seq")
     x = x.withColumn("before_", F.lag("kind_").over(w))
     x = x.withColumn("change_", (F.col("before_").isNotNull() & (F.col("before_") != F.col("kind_"))).cast("int"))
@@ -66,18 +66,10 @@ def _runs(log: DataFrame, kind: Column) -> DataFrame:
     across = Window.partitionBy(*TEST).orderBy("range_")
     borders = borders.withColumn("new_", F.coalesce(F.lag("last_").over(across) != F.col("first_"), F.lit(True)).cast("int"))
     borders = borders.withColumn("base_", F.sum(F.col("changes_") + F.col("new_")).over(across) - F.col("changes_"))
-    joined = _meet(x, borders.select(*at, "base_"), at)
+    joined = meet(x, borders.select(*at, "base_"), at)
     return joined.withColumn("run", F.col("run") + F.col("base_")).drop("range_", "kind_", "before_", "change_", "base_")
 
 
-def _meet(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str = "inner") -> DataFrame:
-    """Rows of ``left`` with what ``right`` has beside ``names``, null names included."""
-    same = F.lit(True)
-    for c in names:
-        same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    return left.join(right.withColumnsRenamed({c: f"b_{c}" for c in names}), same, how).drop(*[f"b_{c}" for c in names])
-
-
 def collection_reinsert(log: DataFrame, config: AuditConfig) -> DataFrame:
     """A DELETE by one to four columns followed at once by INSERTs into its table; with several columns all inserted values must agree with the deleted ones."""
     table = F.when(F.col("op") == "SELECT", _source(F.col("sql"))).otherwise(T.dml_table(F.col("sql")))
@@ -92,7 +84,7 @@ def collection_reinsert(log: DataFrame, config: AuditConfig) -> DataFrame:
     cols = F.array_distinct(F.transform(F.split(T.first(F.col("sql"), r"\bINTO\s+[\w`\".]+\s*\(([^)]*)\)"), ","), lambda c: T.plain(F.trim(c))))
     vals = F.transform(F.split(T.first(F.col("sql"), r"\bVALUES\s*\(([^)]*)\)"), ","), F.trim)
     inserts = x.filter("op = 'INSERT' and target is not null").select(*TEST, "run", "target", F.map_from_arrays(cols, F.slice(vals, 1, F.size(cols))).alias("given"))
-    j = _meet(inserts, last, (*TEST, "run", "target"))
+    j = meet(inserts, last, (*TEST, "run", "target"))
     agree = (F.size("refs") == 1) | F.forall("eq", lambda e: F.coalesce((F.try_element_at("given", F.lower(e["0"])) == e["1"]) | (e["1"] == "?") | (F.try_element_at("given", F.lower(e["0"])) == "?"), F.lit(False)))
     runs = j.groupBy(*TEST, "seq", F.col("deleted").alias("sql"), "target").agg(F.count(F.lit(1)).alias("k"), F.min(agree).alias("all_agree")).filter((F.col("k") >= config.collection_min_inserts) & F.col("all_agree"))
     once = runs.groupBy(*TEST, "target").agg(F.min_by(F.struct("sql", "k"), "seq").alias("x")).select(*TEST, F.col("target").alias("table_name"), "x.*")
@@ -107,20 +99,20 @@ def derived_delete(log: DataFrame, config: AuditConfig) -> DataFrame:
     x = _runs(x, F.struct("op", "target", "ok")).filter("ok and target is not null")
     # how many DELETEs of a run there are from each on
     run = x.groupBy(*TEST, "run").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= config.derived_delete)
-    deletes = _meet(x, run.select(*TEST, "run", "many"), (*TEST, "run"))
-    deletes = deletes.withColumn("range_", F.floor(F.col("seq") / RANGE))
+    deletes = meet(x, run.select(*TEST, "run", "many"), (*TEST, "run"))
+    deletes = deletes.withColumn("range_", F.floor(F.col("seq") / order.RANGE))
     within = deletes.groupBy(*TEST, "run", "range_").agg(F.count(F.lit(1)).alias("here"))
     across = Window.partitionBy(*TEST, "run").orderBy("range_")
     within = within.withColumn("earlier", F.sum("here").over(across) - F.col("here"))
     at = (*TEST, "run", "range_")
-    deletes = _meet(deletes, within.select(*at, "earlier"), at)
+    deletes = meet(deletes, within.select(*at, "earlier"), at)
     nth = F.row_number().over(Window.partitionBy(*at).orderBy("seq"))
     deletes = deletes.select(*TEST, "seq", "target", (F.col("many") - F.col("earlier") - nth + 1).alias("k"))
 
     s = log.filter("op = 'SELECT'").filter(T.has_where(F.col("sql"))).select(*TEST, "seq", "sql", _source(F.col("sql")).alias("target"), F.lit(True).alias("is_select"), F.lit(None).cast("struct<t:string,k:bigint>").alias("dml"))
-    other = _meet(log.filter("op <> 'SELECT'").select(*TEST, "seq"), deletes, (*TEST, "seq"), "left_outer")
+    other = meet(log.filter("op <> 'SELECT'").select(*TEST, "seq"), deletes, (*TEST, "seq"), "left_outer")
     other = other.select(*TEST, "seq", F.lit(None).cast("string").alias("sql"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("is_select"), F.struct(F.col("target").alias("t"), F.col("k").cast("bigint").alias("k")).alias("dml"))
-    both = s.unionByName(other).withColumn("range_", F.floor(F.col("seq") / RANGE))
+    both = s.unionByName(other).withColumn("range_", F.floor(F.col("seq") / order.RANGE))
     # the next statement that is no SELECT: in its range of seq, or the first of a later one
     ahead = Window.partitionBy(*TEST, "range_").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("next_dml", F.last("dml", ignorenulls=True).over(ahead))
@@ -128,7 +120,7 @@ def derived_delete(log: DataFrame, config: AuditConfig) -> DataFrame:
     later = Window.partitionBy(*TEST).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)
     at = (*TEST, "range_")
     firsts = firsts.select(*at, F.last("first_", ignorenulls=True).over(later).alias("far"))
-    both = _meet(both.filter("is_select"), firsts, at).withColumn("next_dml", F.coalesce("next_dml", "far"))
+    both = meet(both.filter("is_select"), firsts, at).withColumn("next_dml", F.coalesce("next_dml", "far"))
     got = both.filter((F.col("next_dml.t") == F.col("target")) & (F.col("next_dml.k") >= config.derived_delete))
     once = got.groupBy(*TEST, "target").agg(F.min_by(F.struct("sql", "next_dml"), "seq").alias("x"))
     once = once.select(*TEST, F.col("target").alias("table_name"), F.col("x.sql").alias("sql"), F.col("x.next_dml.k").alias("k"))

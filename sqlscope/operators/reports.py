@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlscope.config import AuditConfig
 from sqlscope.functions import text as T
-from sqlscope.operators import group_rules
+from sqlscope.operators import group_rules, order
 from sqlscope.schema import IMPACT_POINTS, SEVERITY_POINTS, SEVERITY_RANK, TEST
 from sqlscope.sources import files
 
@@ -87,9 +87,13 @@ def deduplicate(issues: DataFrame) -> DataFrame:
     head = F.substring(T.normalize(F.coalesce("query", F.lit(""))), 1, 200)
     fp = F.concat_ws("|", "code", F.coalesce(F.lower("table_name"), F.lit("")), F.coalesce(F.lower("column_name"), F.lit("")), head)
     test = F.concat_ws(".", "test_class", "test_name")
-    g = issues.withColumn("fingerprint", fp).groupBy("fingerprint", "code").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.slice(F.array_sort(F.collect_set(test)), 1, 10).alias("affected_tests"), F.min(severity_rank(F.col("severity"))).alias("r")
-    )
+    keys = ("fingerprint", "code")
+    per = issues.withColumns({"fingerprint": fp, "test": test}).groupBy(*keys, "test").agg(F.count(F.lit(1)).alias("n"), F.min(severity_rank(F.col("severity"))).alias("r"))
+    # ten tests of each are gathered, however many there are
+    first = per.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("test"))).filter("nth <= 10")
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list("test")).alias("affected_tests"))
+    g = per.groupBy(*keys).agg(F.sum("n").alias("occurrences"), F.min("r").alias("r"))
+    g = order.meet(g, first, keys).select(*keys, "occurrences", "affected_tests", "r")
     return g.withColumn("severity", F.element_at(F.array(*[F.lit(s) for s in SEVERITY_RANK]), F.col("r") + 1)).drop("r")
 
 
@@ -105,8 +109,7 @@ def table_frequency(log: DataFrame) -> DataFrame:
 def timeline(log: DataFrame) -> DataFrame:
     """Executions of each test in order, with how often their pattern runs there."""
     counts = log.groupBy(*TEST, "nsql").agg(F.count(F.lit(1)).alias("pattern_count"))
-    w = Window.partitionBy(*TEST).orderBy("seq")
-    return log.withColumn("position", F.row_number().over(w)).join(counts, [*TEST, "nsql"]).select(*TEST, "position", "seq", "nsql", "pattern_count")
+    return order.meet(order.positions(log), counts, (*TEST, "nsql")).select(*TEST, F.col("position").cast("int").alias("position"), "seq", "nsql", "pattern_count")
 
 
 def breakdown(issues: DataFrame) -> DataFrame:
@@ -144,3 +147,29 @@ def n_plus_one_gate(log: DataFrame, limit: int) -> DataFrame:
 
 
 statement_counts = group_rules.statement_counts
+
+
+def settled(*settings: bool | None, default: bool = True) -> bool:
+    """The first setting that is not None (of a test, its class, the whole run), else the default."""
+    return next((x for x in settings if x is not None), default)
+
+
+def gates(issues: DataFrame, log: DataFrame, config: AuditConfig, budget: int | None = None, n_plus_one: int | None = None, fail: tuple[bool | None, ...] = ()) -> DataFrame:
+    """What fails a test: rows (test, gate, subject, value, limit) of the gates "finding", "budget" and "n-plus-one".
+
+    From classified issues and a normalized log of tested statements. ``fail``: settings of whether findings
+    fail a test, the nearest first (None: not set).
+    """
+    none = F.lit(None).cast("bigint")
+    found = failures(issues, config).groupBy(*TEST, "code").agg(F.count(F.lit(1)).alias("value"))
+    parts = [found.select(*TEST, F.lit("finding").alias("gate"), F.col("code").alias("subject"), "value", none.alias("limit"))]
+    if not settled(*fail):
+        parts[0] = parts[0].limit(0)
+    if budget is not None:
+        parts.append(over_budget(log, budget).select(*TEST, F.lit("budget"), F.lit("statements"), "queries", F.lit(budget).cast("bigint")))
+    if n_plus_one is not None:
+        parts.append(n_plus_one_gate(log, n_plus_one).select(*TEST, F.lit("n-plus-one"), F.concat(F.col("patterns").cast("string"), F.lit(" patterns")), "worst", F.lit(n_plus_one).cast("bigint")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -1,11 +1,10 @@
-"""Writers of findings: JSON, baselines, and text for consoles, CI annotations and a HTML page.
+"""Writers of findings: JSON, baselines, and text for consoles and CI annotations. HTML is in html_report.py.
 
 Texts are made from the top of a ranking, never from all findings.
 """
 
 from __future__ import annotations
 
-import html
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -83,9 +82,27 @@ def console(result: AuditResult, per_code: int = 3, k: int = 5) -> str:
     return "\n".join(out)
 
 
-def page(result: AuditResult, k: int = 50) -> str:
-    """A HTML page of the ranking and the frequent patterns."""
-    cells = lambda values: "<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in values) + "</tr>"
-    ranking = "".join(cells(r) for r in reports.top(result.issues, k).select("rank", "code", "severity", "table_name", "column_name", "frequency", "score").collect())
-    often = "".join(cells(r) for r in reports.pattern_frequency(result.log).orderBy(F.desc("executions"), "nsql").limit(k).collect())
-    return f"<!doctype html><meta charset=utf-8><title>SQL audit</title><h1>Findings</h1><table>{ranking}</table><h1>Patterns</h1><table>{often}</table>"
+class JsonReporter:
+    """One JSON text per test."""
+
+    def write(self, result: AuditResult, path: str) -> None:
+        report_json(result).write.mode("overwrite").text(path)
+
+
+class ConsoleReporter:
+    """The console's text, to the terminal or (where a path is given) to a file that the driver writes."""
+
+    def write(self, result: AuditResult, path: str = "") -> None:
+        text = console(result)
+        if path:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+        else:
+            print(text)
+
+
+class AnnotationReporter:
+    """CI annotation lines of confirmed findings."""
+
+    def write(self, result: AuditResult, path: str) -> None:
+        annotations(result.issues.filter("bucket = 'confirmed'")).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from sqlscope.config import AuditConfig
-from sqlscope.operators import features, group_rules
+from sqlscope.operators import features, group_rules, order, reports
 from sqlscope.schema import TEST
 
 LOG = "run_id string, test_class string, test_name string, seq bigint, sql string, exec_nanos bigint, ts timestamp_ntz, stack_trace string, phase string"
@@ -36,7 +36,7 @@ def test_ranges_do_not_matter(spark, monkeypatch):
     want = [found(rule(log, config)) for rule in (group_rules.derived_delete, group_rules.collection_reinsert)]
     assert all(want) and any("4 deletes" in r[-1] or "5 deletes" in r[-1] for r in want[0])
     for size in (1, 2, 7):
-        monkeypatch.setattr(group_rules, "RANGE", size)
+        monkeypatch.setattr(order, "RANGE", size)
         assert [found(rule(log, config)) for rule in (group_rules.derived_delete, group_rules.collection_reinsert)] == want
 
 
