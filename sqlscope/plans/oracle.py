@@ -41,6 +41,7 @@ rep AS (SELECT *, coalesce(nullif(lower(regexp_extract(sq, '(?i)\\bfrom\\s+(\\w+
 """
 
 _KEYWORDS = "('and', 'or', 'not', 'null', 'where', 'on', 'in', 'is', 'like', 'between', 'case', 'when', 'then', 'else', 'end', 'select', 'from', 'exists')"
+NOT_ALIAS = "('where', 'on', 'set', 'join', 'left', 'cross', 'inner', 'order', 'group', 'limit', 'union', 'for', 'force', 'use', 'having', 'values', 'as', 'select')"
 #: Aliases, WHERE columns with their tables, indexed columns, index shapes.
 COLUMNS = rf"""
 named AS (SELECT test_class, nsql, sq, lower(unnest(regexp_extract_all(sq, '(?i)(?:\b(?:from|join)|^\s*update)\s+(\w+)', 1))) AS tab FROM rep
@@ -79,7 +80,7 @@ def m(pattern: str, of: str = "s") -> str:
 _LOCK = m(r"\bfor\s+(?:update|share)\b")
 _AGG = r"\b(?:count|sum|avg|min|max)\s*\("
 _WM = "regexp_replace(regexp_extract(s, '(?is)\\bwhere\\b(.*?)" + _END + "', 1), '''(?:[^'']|'''')*''', '?', 'g')"
-_ORS = rf"len(regexp_extract_all(w, '(?i)\bor\b'))"
+_ORS = rf"(len(regexp_extract_all(w, '(?i)\bor\b')) - len(regexp_extract_all(w, '(?i)\(\s*\?\s+is\s+null\s+or\b')))"
 
 PREDICATES: dict[str, str] = {
     "select-all": where("INFO", m(r"\bselect\s+(?:all\s+|distinct\s+)?(?:\w+\.)?\*") + " AND NOT " + m(r"\bexists\s*\(\s*select\s+\*")),
@@ -101,7 +102,7 @@ PREDICATES: dict[str, str] = {
     "case-in-where": where("WARNING", m(r"\bcase\b", "w") + " AND NOT " + m(r"=\s*case\b", "w")),
     "regexp-usage": where("WARNING", m(r"\b(?:regexp|rlike)\b", "w")),
     "find-in-set": where("WARNING", m(r"\bfind_in_set\s*\(", "w")),
-    "group-by-function": where("WARNING", m(r"\bgroup\s+by\s.*?\b\w+\s*\(\s*\w+", "sq"), column=r"lower(regexp_extract(sq, '(?i)\bgroup\s+by\s.*?\w+\s*\(\s*(\w+)', 1))"),
+    "group-by-function": where("WARNING", m(r"\bgroup\s+by\s.*?\b\w+\s*\(\s*\w+", r"regexp_replace(sq, '(?is)\bhaving\b.*$', '')"), column=r"lower(regexp_extract(sq, '(?i)\bgroup\s+by\s.*?\w+\s*\(\s*(\w+)', 1))"),
     "large-in-list": where(r"CASE WHEN len(string_split(regexp_extract(s, '(?i)\bin\s*\(([^)]+)\)', 1), ',')) > 1000 THEN 'ERROR' ELSE 'WARNING' END", r"len(string_split(regexp_extract(s, '(?i)\bin\s*\(([^)]+)\)', 1), ',')) > 100"),
     "too-many-joins": where("WARNING", r"len(regexp_extract_all(sq, '(?i)\bjoin\b')) > 5"),
     "not-in-subquery": where("ERROR", m(r"\bnot\s+in\s*\(\s*select\b")),
@@ -125,7 +126,9 @@ PREDICATES: dict[str, str] = {
     "where-function": where("ERROR", m(r"\b(?:year|lower|upper|date|trim)\s*\(\s*\w+\s*\)\s*[=<>]", "w"), column=r"lower(regexp_extract(w, '(?i)\b(?:year|lower|upper|date|trim)\s*\(\s*(\w+)', 1))")
     + " UNION ALL " + where("WARNING", m(r"\bon\s+(?:year|lower|upper|date|trim)\s*\(", "sq"), column=r"lower(regexp_extract(sq, '(?i)\bon\s+\w+\s*\(\s*\w+\.(\w+)', 1))"),
     "non-sargable": where("ERROR", m(r"\w+\s*[-+*/]\s*[0-9]+\s*[=<>]", "w") + " OR " + m(r"[=<>]\s*[0-9]+\s*[-+*/]\s*[a-z]\w*", "w"), column=r"lower(regexp_extract(w, '(?i)([a-z]\w*)\s*[-+*/]\s*[0-9]', 1))"),
-    "having-misuse": where("WARNING", "op = 'SELECT' AND " + m(r"\bhaving\s+o_orderstatus\s*=", "sq"), column="'o_orderstatus'"),
+    "having-misuse": rf"""SELECT test_class, 'WARNING' AS severity, nsql AS query, t AS table_name, nullif(lower(regexp_extract(c, '^\s*(\w+)\s*[=<>!]', 1)), '') AS column_name
+      FROM (SELECT test_class, nsql, t, sq, unnest(string_split(regexp_replace(regexp_extract(sq, '(?is)\bhaving\b(.*)$', 1), '(?i)\s+(?:and|or)\s+', chr(1), 'g'), chr(1))) AS c FROM rep WHERE op = 'SELECT')
+      WHERE trim(c) <> '' AND NOT {m(_AGG, "c")} AND NOT list_contains(regexp_extract_all(lower(sq), '(?:count|sum|avg|min|max)\([^()]*\)\s+as\s+(\w+)', 1), lower(regexp_extract(c, '^\s*(\w+)\s*[=<>!]', 1)))""",
     "redundant-filter": where("INFO", r"len(regexp_extract_all(w, '(\w+)\s*=', 1)) > len(list_distinct(regexp_extract_all(w, '(\w+)\s*=', 1))) AND NOT regexp_matches(w, '(?i)\bor\b')", column=r"regexp_extract(w, '(\w+)\s*=', 1)"),
     "unused-join": where("WARNING", "op = 'SELECT' AND " + m(r"\bleft\s+join\s+\w+\s+\w+\s+on\b", "sq") + r" AND NOT contains(lower(regexp_extract(sq, '(?is)^\s*select(.*?)\bfrom\b', 1)) || lower(w), lower(regexp_extract(sq, '(?i)\bleft\s+join\s+\w+\s+(\w+)', 1)) || '.')"),
     "correlated-subquery": where("WARNING", m(r"^\s*select\b.*?\(\s*select\b[^()]*(?:\([^()]*\))?[^()]*\bwhere\b[^()]*=\s*c\.\w+[^()]*\).*\bfrom\s+customer\s+c\b")),
@@ -199,16 +202,23 @@ closed(test_class, nsql, tab, col) AS (SELECT DISTINCT test_class, nsql, tab, co
   UNION SELECT closed.test_class, closed.nsql, pairs.rt, pairs.rc FROM closed JOIN pairs ON pairs.test_class = closed.test_class AND pairs.nsql = closed.nsql AND pairs.lt = closed.tab AND pairs.lc = closed.col)"""
 
 
+_CONVERSION = r"""SELECT test_class, 'WARNING' AS severity, arg_min(nsql, seq) AS query, NULL AS table_name, col AS column_name FROM (SELECT test_class, nsql, seq, regexp_extract(x, '^(\w+)', 1) AS col, regexp_extract(x, '([0-9]+)$', 1) AS v
+        FROM (SELECT test_class, nsql, seq, unnest(regexp_extract_all(w, '\b\w+\s*=\s*[0-9]+\b', 0)) AS x FROM rep)) WHERE NOT regexp_matches(col, '(^|_)(id|count|num|no|seq|order|size|length)$')
+        AND regexp_matches(col, '(^|_)(name|email|phone|code|token|key|slug|handle|address|title|url|path|type|description|desc|note|comment|text|content|message|label|tag|remark)(_|$)') GROUP BY test_class, col, v"""
+
+
 def rule_sql() -> dict[str, str]:
     """By code: DuckDB SQL of the rule's findings over the synthetic log."""
     out = {code: issues(code, body) for code, body in PREDICATES.items()}
     for code, body in CATALOG_RULES.items():
         sql = issues(code, body, columns=True, recursive=code == "composite-index-leading")
         out[code] = sql.replace(", found AS (", _CLOSED + ", found AS (", 1) if code == "composite-index-leading" else sql
-    out["implicit-type-conversion"] = issues(
-        "implicit-type-conversion",
-        r"""SELECT test_class, 'WARNING' AS severity, arg_min(nsql, seq) AS query, NULL AS table_name, col AS column_name FROM (SELECT test_class, nsql, seq, regexp_extract(x, '^(\w+)', 1) AS col, regexp_extract(x, '([0-9]+)$', 1) AS v
-        FROM (SELECT test_class, nsql, seq, unnest(regexp_extract_all(w, '\b\w+\s*=\s*[0-9]+\b', 0)) AS x FROM rep)) WHERE NOT regexp_matches(col, '(^|_)(id|count|num|no|seq|order|size|length)$')
-        AND regexp_matches(col, '(^|_)(name|email|phone|code|token|key|slug|handle|address|title|url|path|type|description|desc|note|comment|text|content|message|label|tag|remark)(_|$)') GROUP BY test_class, col, v""",
-    )
+    out["implicit-type-conversion"] = issues("implicit-type-conversion", _CONVERSION)
     return out
+
+
+def union_sql() -> str:
+    """A WITH clause whose table sm has the findings of all these rules."""
+    bodies = PREDICATES | CATALOG_RULES | {"implicit-type-conversion": _CONVERSION}
+    every = " UNION ALL ".join(f"SELECT test_class, '{code}' AS code, severity, query, table_name, column_name FROM ({body})" for code, body in bodies.items())
+    return f"WITH RECURSIVE {LOG}, {COLUMNS}{_CLOSED}, sm AS MATERIALIZED ({every})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from sqlscope.functions import text as T
 from sqlscope.operators import catalog_rules, explain, features, group_rules, predicate_rules, reports
 from sqlscope.plans import oracle as O
 from sqlscope.plans import workload as W
-from sqlscope.schema import ISSUE
+from sqlscope.schema import IMPACT_POINTS, ISSUE
 from sqlscope.sources import catalog as C
 from sqlscope.sources import files, sinks
 
@@ -98,16 +99,27 @@ TEXT: dict[str, tuple[Callable[[], Column], str | None]] = {
     ),
     "where_functions": (lambda: _pairs(T.where_functions(_WB()), "function", "column"), r"coalesce(CASE WHEN regexp_matches(w, '(?i)^\s*(year|coalesce)\s*\(') THEN upper(regexp_extract(w, '(?i)^\s*(\w+)\s*\(', 1)) || '.' || lower(regexp_extract(w, '\(\s*(\w+)', 1)) END, '')"),
     "join_functions": (lambda: _pairs(T.join_functions(_O()), "function", "column"), r"coalesce(CASE WHEN regexp_matches(o, '(?i)\bon\s+lower\s*\(') THEN 'LOWER.' || lower(regexp_extract(o, '(?i)lower\(\w+\.(\w+)', 1)) END, '')"),
-    "having_functions": (lambda: _pairs(T.having_functions(T.having_body(_O())), "function", "column"), "''"),
-    "on_bodies": (lambda: F.size(T.on_bodies(_O())), r"CAST(len(regexp_extract_all(o, '(?i)\bon\s+\w+[.(]')) + len(regexp_extract_all(o, '(?i)\bon\s+duplicate')) AS VARCHAR)"),
+    "having_functions": (lambda: _pairs(T.having_functions(T.having_body(_O())), "function", "column"), r"coalesce(upper(nullif(regexp_extract(o, '(?i)\bhaving\s+(?:\w+\s*=\s*\S+\s+and\s+)?(lower|year)\(\w+\)', 1), '')) || '.' || lower(regexp_extract(o, '(?i)\bhaving\s+(?:\w+\s*=\s*\S+\s+and\s+)?(?:lower|year)\((\w+)\)', 1)), '')"),
+    "on_bodies": (
+        lambda: F.array_join(F.transform(T.on_bodies(_O()), lambda x: F.trim(x)), "|"),
+        r"array_to_string(list_transform(regexp_extract_all(regexp_replace(o, '(?i)\s+(left |inner |cross )?join\b|\s+where\b|\s+limit\b|\s+group by\b', chr(1), 'g'), '(?i)\bon\b([^\x01]*)', 1), lambda x: trim(x)), '|')",
+    ),
     "or_count": (lambda: T.or_count(_WB()), r"CAST(len(regexp_extract_all(w, '(?i)\bor\b')) AS VARCHAR)"),
-    "effective_or_count": (lambda: T.effective_or_count(_WB()), r"CAST(len(regexp_extract_all(w, '(?i)\bor\b')) AS VARCHAR)"),
-    "or_columns": (lambda: F.array_join(T.or_columns(F.when(T.or_count(_WB()) > 0, _WB())), ","), r"CASE WHEN regexp_matches(w, '(?i)\bor\b') THEN array_to_string(list_transform(regexp_extract_all(w, '(\w+)\s*=', 1), lambda x: lower(x)), ',') ELSE '' END"),
+    "effective_or_count": (lambda: T.effective_or_count(_WB()), r"CAST(len(regexp_extract_all(w, '(?i)\bor\b')) - len(regexp_extract_all(w, '(?i)\(\s*\?\s+is\s+null\s+or\b')) AS VARCHAR)"),
+    "or_columns": (lambda: F.array_join(T.or_columns(F.when(T.or_count(_WB()) > 0, _WB())), ","), r"CASE WHEN regexp_matches(w, '(?i)\bor\b') AND NOT regexp_matches(w, '(?i)\?\s+is\s+null\s+or\b') THEN array_to_string(list_transform(regexp_extract_all(w, '(\w+)\s*=', 1), lambda x: lower(x)), ',') ELSE '' END"),
     "same_or_column": (lambda: T.same_or_column(F.when(T.or_count(_WB()) > 0, _WB())), r"CASE WHEN regexp_matches(w, '(?i)\bor\b') AND len(list_distinct(regexp_extract_all(w, '(\w+)\s*=', 1))) = 1 THEN 'true' ELSE 'false' END"),
     "offset_value": (lambda: T.offset_value(F.col("s")), r"CAST(TRY_CAST(regexp_extract(s, '(?i)\boffset\s+([0-9]+)', 1) AS BIGINT) AS VARCHAR)"),
     "has_offset": (lambda: T.has_offset(F.col("s")), r"CASE WHEN regexp_matches(s, '(?i)\boffset\s') THEN 'true' ELSE 'false' END"),
-    "split_top_level": (lambda: F.size(T.split_top_level(T.select_list(_O()))), r"CASE WHEN regexp_matches(o, '(?is)^\s*select.*\bfrom\b') THEN CAST(len(string_split(regexp_replace(regexp_extract(o, '(?is)^\s*select\s+(.*?)\bfrom\b', 1), '\([^()]*\)', '', 'g'), ',')) AS VARCHAR) END"),
-    "aliases": (lambda: F.size(F.array_distinct(F.transform(T.aliases(_O()), lambda a: a["table"]))), None),
+    "split_top_level": (
+        lambda: F.array_join(F.transform(T.split_top_level(T.select_list(_O())), lambda x: F.trim(x)), "|"),
+        r"CASE WHEN regexp_matches(o, '(?is)^\s*select.*\bfrom\b') THEN array_to_string(list_transform(string_split(regexp_replace(regexp_extract(o, '(?is)^\s*select\s+(.*?)\bfrom\b', 1), '(\([^(),]*),([^()]*\))', '\1' || chr(1) || '\2', 'g'), ','), lambda x: replace(trim(x), chr(1), ',')), '|') END",
+    ),
+    "aliases": (
+        lambda: F.array_join(F.array_sort(F.transform(T.aliases(_O()), lambda a: F.concat_ws("=", a["alias"], a["table"]))), ","),
+        rf"(SELECT coalesce(string_agg(DISTINCT a, ',' ORDER BY a), '') FROM (SELECT unnest([tab || '=' || tab, CASE WHEN al = '' OR al IN {O.NOT_ALIAS} THEN tab ELSE al END || '=' || tab]) AS a FROM "
+        r"(SELECT tab, lower(regexp_extract(o, '(?i)(?:\b(?:from|join|update)\s+|,\s*)' || tab || '\s+(?:as\s+)?(\w+)', 1)) AS al FROM (SELECT unnest(list_transform(list_concat(regexp_extract_all(o, '(?i)(?:\b(?:from|join)|^\s*update)\s+(\w+)', 1), "
+        r"regexp_extract_all(o, '(?i)\bfrom\s+\w+\s*,\s*(\w+)', 1)), lambda x: lower(x))) AS tab))))",
+    ),
 }
 
 
@@ -213,12 +225,17 @@ MERGEABLE_SQL = rf"""WITH {O.LOG}, s AS (SELECT test_class, seq, nsql, regexp_ex
 
 # --- report operators -----------------------------------------------------------------------------------
 
-_THREE = ("select-all", "union-without-all", "null-comparison", "order-by-rand")
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of all rules that SQL can tell over the log: those of the queries rule_*."""
+    c = engine.context(W.query_log(spark, sf), W.index_catalog(spark))
+    f = c.features.persist()
+    c = replace(c, features=f, where=catalog_rules.known_where(f, c.catalog).persist())
+    return engine.run_rules(c).filter(F.col("code").isin(*O.rule_sql()))
 
 
-def _some(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings of four rules: enough kinds for the report operators, and quick to check."""
-    return predicate_rules.evaluate(_features(spark, sf), CONFIG, frozenset(_THREE))
+def rule_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The union of the rules, as the engine runs them together."""
+    return _told(spark, sf).select(*SHOWN)
 
 
 def _whole(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,8 +244,7 @@ def _whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _some_sql() -> str:
-    bodies = " UNION ALL ".join(f"SELECT test_class, '{c}' AS code, severity, query, table_name, column_name FROM ({O.PREDICATES[c]})" for c in _THREE)
-    return f"WITH {O.LOG}, sm AS ({bodies})"
+    return O.union_sql()
 
 
 def report_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,12 +268,12 @@ def phase_filter(spark: SparkSession, sf: str) -> DataFrame:
     return features.tested(W.query_log(spark, sf), CONFIG).groupBy("test_class").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
 
 
-def issue_suppression(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def issue_suppression(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     config = AuditConfig(suppress_issues=("order-by-rand", "null-comparison:orders.o_clerk"))
     return reports.suppress(found(spark, sf), config).select(*SHOWN)
 
 
-def severity_override(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def severity_override(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return reports.override(found(spark, sf), AuditConfig(severity={"select-all": "ERROR", "order-by-rand": "INFO"})).select(*SHOWN)
 
 
@@ -266,28 +282,28 @@ def _baseline(spark: SparkSession) -> DataFrame:
     return files.parse_issue_baseline(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
-def baseline_classify(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def baseline_classify(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return reports.classify(reports.acknowledge(found(spark, sf), _baseline(spark))).select(*SHOWN, "bucket")
 
 
 def impact_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.impact_rank(_some(spark, sf)).select("code", "table_name", "column_name", "frequency", "severity", "score", "rank")
+    return reports.impact_rank(_told(spark, sf)).select("code", "table_name", "column_name", "frequency", "severity", "score", "rank")
 
 
 _RANK_SQL = """SELECT code, table_name, column_name, count(*) AS frequency, CASE min(CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END) WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS severity,
- CAST(count(*) * 15 + CASE min(CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END) WHEN 0 THEN 100 WHEN 1 THEN 30 ELSE 5 END + CASE code WHEN 'select-all' THEN 10 ELSE 5 END AS BIGINT) AS score FROM sm GROUP BY ALL"""
+ CAST(count(*) * 15 + CASE min(CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END) WHEN 0 THEN 100 WHEN 1 THEN 30 ELSE 5 END + CASE code """ + " ".join(f"WHEN '{c}' THEN {n}" for c, n in IMPACT_POINTS.items()) + " ELSE 5 END AS BIGINT) AS score FROM sm GROUP BY ALL"
 
 
 def _ranked(limit: str = "") -> str:
     return f"{_some_sql()}, r AS ({_RANK_SQL.replace('GROUP BY ALL', 'GROUP BY code, table_name, column_name')}) SELECT *, CAST(row_number() OVER (ORDER BY score DESC, code, table_name NULLS FIRST, column_name NULLS FIRST) AS INTEGER) AS rank FROM r {limit}"
 
 
-def issue_dedup(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def issue_dedup(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     d = reports.deduplicate(found(spark, sf))
     return d.select("fingerprint", "code", "occurrences", F.array_join("affected_tests", ",").alias("affected_tests"), "severity")
 
 
-DEDUP_TAIL = f""" SELECT code || '|' || coalesce(lower(table_name), '') || '|' || coalesce(lower(column_name), '') || '|' || substr({O.norm("query")}, 1, 200) AS fingerprint, code, count(*) AS occurrences,
+DEDUP_TAIL = f""" SELECT code || '|' || coalesce(lower(table_name), '') || '|' || coalesce(lower(column_name), '') || '|' || substr({O.norm("coalesce(query, '')")}, 1, 200) AS fingerprint, code, count(*) AS occurrences,
  array_to_string(list_sort(list(DISTINCT test_class || '.t'))[1:10], ',') AS affected_tests, arg_min(severity, CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END) AS severity FROM sm GROUP BY 1, 2"""
 
 
@@ -306,15 +322,15 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
     return reports.timeline(_log(spark, sf)).select("test_class", "position", "seq", "nsql", "pattern_count")
 
 
-def issue_breakdown(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def issue_breakdown(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return reports.breakdown(found(spark, sf))
 
 
-def top_k(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def top_k(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return reports.top(found(spark, sf), 5).select("code", "table_name", "column_name", "frequency", "severity", "score", "rank")
 
 
-def failable(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def failable(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     issues = reports.classify(reports.acknowledge(found(spark, sf), _baseline(spark)))
     return reports.failures(issues, AuditConfig(fail_on=frozenset({"null-comparison", "order-by-rand"}))).select(*SHOWN)
 
@@ -412,7 +428,7 @@ def count_baseline_parse(spark: SparkSession, sf: str) -> DataFrame:
     return files.parse_count_baseline(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
-def baseline_lines(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def baseline_lines(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return sinks.baseline_lines(found(spark, sf), "ann", "known")
 
 
@@ -420,7 +436,7 @@ def count_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.count_lines(reports.statement_counts(_log(spark, sf)))
 
 
-def ci_annotations(spark: SparkSession, sf: str, found: Query = _some) -> DataFrame:
+def ci_annotations(spark: SparkSession, sf: str, found: Query = _told) -> DataFrame:
     return sinks.annotations(found(spark, sf))
 
 
@@ -480,6 +496,7 @@ OTHERS: list[tuple[Query, str | None]] = [
     (issue_suppression, _tail(f"SELECT {_ISSUE_COLUMNS} FROM sm WHERE code <> 'order-by-rand' AND NOT (code = 'null-comparison' AND table_name = 'orders' AND column_name = 'o_clerk')")),
     (severity_override, _tail("SELECT test_class, code, CASE code WHEN 'select-all' THEN 'ERROR' WHEN 'order-by-rand' THEN 'INFO' ELSE severity END AS severity, query, table_name, column_name FROM sm")),
     (baseline_classify, _tail(f"SELECT {_ISSUE_COLUMNS}, CASE WHEN coalesce({_ACK}, FALSE) THEN 'acknowledged' WHEN severity = 'INFO' THEN 'info' ELSE 'confirmed' END AS bucket FROM sm")),
+    (rule_union, _tail(f"SELECT {_ISSUE_COLUMNS} FROM sm")),
     (impact_rank, _ranked()),
     (issue_dedup, _tail(DEDUP_TAIL)),
     (pattern_frequency, f"WITH {O.LOG} SELECT nsql, count(*) AS executions FROM norm GROUP BY 1"),
@@ -506,7 +523,7 @@ OTHERS: list[tuple[Query, str | None]] = [
     (count_baseline_parse, "SELECT * FROM (VALUES ('a.B', 'x', 1, 2, 3, 4, 10), ('a.C', 'z', 0, 0, 0, 0, 0)) v(test_class, test_name, selects, inserts, updates, deletes, total)"),
     (baseline_lines, _tail("SELECT DISTINCT code || '|' || coalesce(table_name, '') || '|' || coalesce(column_name, '') || '|ann|known' AS value FROM sm")),
     (count_lines, f"WITH {O.LOG}, {_COUNTS} SELECT concat_ws('|', test_class, 't', selects, inserts, updates, deletes, total) AS value FROM counts"),
-    (ci_annotations, _tail("SELECT '::' || CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'notice' END || ' title=' || code || '::' || replace(concat_ws(' ', concat_ws('.', table_name, column_name), query), '%', '%25') AS value FROM sm")),
+    (ci_annotations, _tail("SELECT '::' || CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'notice' END || ' title=' || code || '::' || replace(replace(concat_ws(' ', concat_ws('.', table_name, column_name), query), '%', '%25'), chr(10), '%0A') AS value FROM sm")),
     (issue_json, None),
     (report_json, None),
     (explain_plans, None),
@@ -515,7 +532,7 @@ OTHERS: list[tuple[Query, str | None]] = [
 ]
 
 
-#: Over the findings of all rules, whose DuckDB SQL gets too long; the queries of these names hold the same code to SQL on four rules.
+#: Over the findings of all rules, those on sequences, events and plans too; the queries of these names hold the same code to SQL on the others.
 WHOLE = (issue_suppression, severity_override, baseline_classify, issue_dedup, issue_breakdown, top_k, failable, baseline_lines, ci_annotations)
 
 

@@ -110,6 +110,8 @@ TEMPLATES: list[tuple[str, str | None]] = [
     ("SELECT o.o_clerk FROM orders o JOIN lineitem l ON l.l_suppkey = o.o_suppkey WHERE o.o_suppkey = {} LIMIT 1", None),
     ("SELECT u1_0.c_name FROM customer u1_0 WHERE u1_0.c_phone = 'p{}' LIMIT 1", None),
     ("WITH big AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 5) SELECT o_orderkey FROM big WHERE o_orderkey = {}", None),
+    ("SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING p_brand = 'b{}' AND LOWER(p_brand) = 'x'", None),
+    ("SELECT p_name FROM part WHERE (? IS NULL OR p_brand = ?) AND (? IS NULL OR p_type = ?) AND (? IS NULL OR p_size = ?) AND p_partkey = {}", None),
     ("  select  c_name\n from customer\twhere c_custkey={} -- by key", None),
 ]
 
