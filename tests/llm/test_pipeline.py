@@ -55,3 +55,26 @@ def test_run(spark):
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} == set(out.columns)
     assert out.count() == out.select("shard", "slot").distinct().count() > 0
     assert out.filter(F.col("text").isNull()).count() == 0
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows and columns with clashing names go through every stage; an empty table gives none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    nameless = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionAll(docs.limit(10)).unionAll(nameless)
+    clash = ["n", "cls", "d1", "fp", "spans", "cut", "key", "part", "nth", "shard", "slot", "lang_pred", "score", "size", "tie", "body", "copies"]
+    docs = docs.withColumns({c: F.lit(c) for c in clash})
+    names, empty = docs.columns, docs.filter("false")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert stage(spark, empty, SF).count() == 0
+        left = docs.count()
+        assert 0 < left and (left <= before or name == "mixture")
+        before = left
+        kept = [c for c in clash if name != "shards" or c not in ("shard", "slot")]
+        assert set(docs.columns) == set(names) and all(docs.filter(F.col(c) != c).count() == 0 for c in kept)
+        if name == "near_duplicates":
+            assert docs.filter("doc_id is null").count() > 0
+    assert docs.select("shard", "slot").distinct().count() == before
