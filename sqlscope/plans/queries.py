@@ -233,7 +233,7 @@ def _told(spark: SparkSession, sf: str) -> DataFrame:
     return engine.run_rules(c).filter(F.col("code").isin(*O.rule_sql()))
 
 
-def rule_union(spark: SparkSession, sf: str) -> DataFrame:
+def all_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The union of the rules, as the engine runs them together."""
     return _told(spark, sf).select(*SHOWN)
 
@@ -496,7 +496,7 @@ OTHERS: list[tuple[Query, str | None]] = [
     (issue_suppression, _tail(f"SELECT {_ISSUE_COLUMNS} FROM sm WHERE code <> 'order-by-rand' AND NOT (code = 'null-comparison' AND table_name = 'orders' AND column_name = 'o_clerk')")),
     (severity_override, _tail("SELECT test_class, code, CASE code WHEN 'select-all' THEN 'ERROR' WHEN 'order-by-rand' THEN 'INFO' ELSE severity END AS severity, query, table_name, column_name FROM sm")),
     (baseline_classify, _tail(f"SELECT {_ISSUE_COLUMNS}, CASE WHEN coalesce({_ACK}, FALSE) THEN 'acknowledged' WHEN severity = 'INFO' THEN 'info' ELSE 'confirmed' END AS bucket FROM sm")),
-    (rule_union, _tail(f"SELECT {_ISSUE_COLUMNS} FROM sm")),
+    (all_rules, _tail(f"SELECT {_ISSUE_COLUMNS} FROM sm")),
     (impact_rank, _ranked()),
     (issue_dedup, _tail(DEDUP_TAIL)),
     (pattern_frequency, f"WITH {O.LOG} SELECT nsql, count(*) AS executions FROM norm GROUP BY 1"),
