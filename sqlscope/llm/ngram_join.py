@@ -18,11 +18,18 @@
    Every pair that may link is then either inside a component or refused by exact
    count, so no link is lost.
 
-A bucket of more than ``block`` classes is dealt out three times: in blocks that
-share a few of its classes; then what lies outside its largest component, in blocks
-that share the classes with most links so far; then, by pairs of blocks, what is
-still outside against everything. A large group of near copies is joined by the first
-two in proportion to its size; the third, which is exact, finds little left.
+A set that has a shingle at place k of the order shares at most its n - k last with
+another whose first common shingle that is, so it links there with sets up to a size
+only, its reach. Two that reach but smaller sets than themselves don't link by it. So a
+bucket of more than ``block`` classes is parted in hosts, which reach sets of their own
+size, and guests, which meet hosts within their reach only: most of what shares the
+frequent shingles of a group but has changed too much to link with it.
+
+Hosts are dealt out three times: in blocks that share a few of them; then what lies
+outside the largest component, in blocks that share the classes with most links so
+far; then, by pairs of blocks, what is still outside against everything. A large group
+of near copies is joined by the first two in proportion to its size; the third, which
+is exact, finds little left. Guests are dealt to blocks of hosts in order of size.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing
 and are components of their own; texts of fewer than ``size`` words are one
@@ -202,7 +209,7 @@ def marks_of(common: DataFrame) -> tuple[int, bytes]:
 
 
 def _prefixes(size: int, percent: int, bits: int, sketch, marks=None):
-    """(gram, d1, d2) of the prefixes; with ``marks`` only of grams that they may hold."""
+    """(gram, d1, d2, at: the gram's place in its set) of the prefixes; with ``marks`` only of grams that they may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(sketch.value, np.uint8), set()
@@ -221,13 +228,14 @@ def _prefixes(size: int, percent: int, bits: int, sketch, marks=None):
                 many.append(p)
             if grams:
                 told, d = np.concatenate(grams), np.repeat(np.array(keys, np.int64), many, axis=0)
+                at = np.concatenate([np.arange(p, dtype=np.int32) for p in many])
                 if marks is not None:
                     log, held = marks.value
                     kept = np.ones(len(told), bool)
                     for spots in _marked(told, log):
                         kept &= (np.frombuffer(held, np.uint8)[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1
-                    told, d = told[kept], d[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(told.view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["gram", "d1", "d2"])
+                    told, d, at = told[kept], d[kept], at[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(told.view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(at)], names=["gram", "d1", "d2", "at"])
 
     return tidy(run)
 
@@ -464,7 +472,9 @@ class _Join:
         """Walk ``cells`` (cell, side, cls, n; materialised) until none has a pair left that may link."""
         tries, now = 1, cells
         while True:
-            rows = self.with_comp(now).join(self.maps, "cls").select("cell", "side", "cls", "n", "comp", "bitmap", F.lit(None).cast("long").alias("other"))
+            rows = self.with_comp(now)
+            rows.facts = now.facts  # few cells go to the bitmaps, so these are not shuffled
+            rows = small(rows).join(self.maps, "cls").select("cell", "side", "cls", "n", "comp", "bitmap", F.lit(None).cast("long").alias("other"))
             if self.refused:
                 no = self.refused_in(now, self.refused)
                 rows = rows.unionByName(no.select("cell", "cls", "other"), allowMissingColumns=True)
@@ -510,7 +520,7 @@ def _giants(found: _Join, members: DataFrame) -> DataFrame:
 
 
 def _settle_large(found: _Join, members: DataFrame, block: int) -> None:
-    """What large buckets (bucket, cls, n) still have in several components."""
+    """What the hosts (bucket, cls, n) of large buckets still have in several components."""
     giants = _giants(found, members)
     if giants.facts["most"] > 4 * block and found.links:
         # the classes with most links so far reach most of the rest
@@ -538,6 +548,34 @@ def _settle_large(found: _Join, members: DataFrame, block: int) -> None:
     drop(giants)
 
 
+def _settle_guests(found: _Join, members: DataFrame, block: int) -> None:
+    """Pairs of a guest and a host of large buckets (bucket, cls, n, reach).
+
+    Hosts are cut to blocks in order of size. A guest goes to those blocks that have a host within its
+    reach, of its size or not much smaller, which reaches it too, unless all there is of its component.
+    """
+    hosts, guests = members.filter("reach >= n"), members.filter("reach < n")
+    upto = Window.partitionBy("bucket").orderBy("n")
+    sizes = hosts.groupBy("bucket", "n").count().withColumn("base", F.sum("count").over(upto) - F.col("count"))
+    sizes = materialize(sizes, "host-sizes")
+    nth = F.floor((F.col("base") + F.pmod(F.xxhash64("cls"), F.col("count"))) / block)
+    placed = materialize(found.with_comp(hosts).join(small(sizes), ["bucket", "n"]).select("bucket", nth.alias("nth"), "cls", "n", "reach", "comp"), "hosts")
+    ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("far"), F.min("comp").alias("low"), F.max("comp").alias("high")]
+    blocks = materialize(placed.groupBy("bucket", "nth").agg(*ends), "blocks")
+    meet = (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("far")) & (100 * F.col("most") >= found.percent * F.col("n"))
+    apart = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
+    visits = materialize(found.with_comp(guests).join(small(blocks), "bucket").filter(meet & apart).select("bucket", "nth", "cls", "n"), "visits")
+    if visits.facts["rows"]:
+        parts = materialize(visits.groupBy("bucket", "nth").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")), "parts")
+        part = F.pmod(F.xxhash64("cls"), F.col("parts"))
+        there = visits.join(small(parts), ["bucket", "nth"]).select(F.xxhash64("bucket", "nth", part).alias("cell"), F.lit(1).alias("side"), "cls", "n")
+        here = placed.join(small(parts), ["bucket", "nth"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        cells = materialize(there.unionAll(here.select(F.xxhash64("bucket", "nth", "part").alias("cell"), F.lit(0).alias("side"), "cls", "n")), "guests")
+        found.settle(cells)
+        drop(cells, parts)
+    drop(visits, blocks, placed, sizes)
+
+
 def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
     """(profile: doc_id, n, d1, d2 per row; components: d1, d2, comp of the classes that link with another, or None)."""
     spark = docs.sparkSession
@@ -555,7 +593,7 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
     sketch = spark.sparkContext.broadcast(whole.tobytes())
     del whole
 
-    prefixes = rows.mapInArrow(_prefixes(size, percent, bits, sketch), "gram long, d1 long, d2 long")
+    prefixes = rows.mapInArrow(_prefixes(size, percent, bits, sketch), "gram long, d1 long, d2 long, at int")
     # of two classes at least (or, which is found out below, of one that several tasks told)
     common = materialize(prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram"), "common")
     if not common.facts["rows"]:
@@ -563,7 +601,7 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
         drop(common)
         return profile, None
     marks = spark.sparkContext.broadcast(marks_of(common))
-    prefixes = rows.mapInArrow(_prefixes(size, percent, bits, sketch, marks), "gram long, d1 long, d2 long")
+    prefixes = rows.mapInArrow(_prefixes(size, percent, bits, sketch, marks), "gram long, d1 long, d2 long, at int")
     shared = materialize(prefixes.join(small(common), "gram").distinct(), "shared")
     marks.destroy()
     drop(common)
@@ -574,11 +612,13 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
     # sets that link are of the same or the next band of sizes, so a cell is a shingle and two bands
     step = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-6
     band = F.floor(F.log(F.col("n")) / F.lit(step))
-    member = F.struct("cls", "n").alias("member")
+    # the largest set it can share enough with, where all they share comes from this place on
+    reach = F.expr(f"((n - at) * {100 + percent} - n * {percent}) div {percent}")
+    member = F.struct("cls", "n", reach.alias("reach")).alias("member")
     cells = shared.join(_part(classes, "d1", "d2", "cls", "n"), ["d1", "d2"]).select(F.explode(F.array(F.xxhash64("gram", band), F.xxhash64("gram", band + 1))).alias("cell"), member)
     names = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("member.cls")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "member.cls"), 32)).alias("s"))
     names = names.filter("many > 1").select("cell", F.xxhash64("many", "x", "s").alias("bucket"))
-    buckets = materialize(cells.join(names, "cell").select("bucket", "member.*").distinct(), "buckets")
+    buckets = materialize(cells.join(names, "cell").select("bucket", "member.*").groupBy("bucket", "cls", "n").agg(F.max("reach").alias("reach")), "buckets")
     drop(shared)
 
     # texts of one document of each class in a bucket (and of others that share its id)
@@ -592,18 +632,23 @@ def links_of(docs: DataFrame, size: int = 4, percent: int = 85, block: int = BLO
     maps.facts = {"bytes": facts.facts["maps"]}
 
     found = _Join(percent, small(maps), facts.filter("fragment >= 0").select("cls", "fragment", "part"))
-    sizes = materialize(buckets.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).alias("blocks"), F.col("count").alias("size")), "sizes")
+    hosts = F.count_if(F.col("reach") >= F.col("n"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), hosts.alias("size")).filter(F.col("many") > block)
+    sizes = materialize(sizes.select("bucket", F.ceil(F.col("size") / block).alias("blocks"), "size"), "sizes")
     plain = buckets.select(F.col("bucket").alias("cell"), F.lit(0).alias("side"), "cls", "n")
     if not sizes.facts["rows"]:
+        plain.facts = buckets.facts
         found.settle(plain)
     else:
         large = materialize(buckets.join(small(sizes), "bucket"), "large")
         pivot = F.pmod(F.xxhash64(F.lit(7), "cls"), F.ceil(F.col("size") / SHARED)) == 0
-        first = plain.join(_part(sizes, "bucket").withColumnRenamed("bucket", "cell"), "cell", "left_anti").unionAll(_dealt(large, F.col("blocks"), pivot))
+        inner = large.filter("reach >= n")
+        first = plain.join(_part(sizes, "bucket").withColumnRenamed("bucket", "cell"), "cell", "left_anti").unionAll(_dealt(inner, F.col("blocks"), pivot))
         first = materialize(first, "cells")
         found.settle(first)
         drop(first)
-        _settle_large(found, large.select("bucket", "cls", "n"), block)
+        _settle_large(found, inner.select("bucket", "cls", "n"), block)
+        _settle_guests(found, large.select("bucket", "cls", "n", "reach"), block)
         drop(large)
     if found.comp is None:
         return profile, None
